@@ -147,8 +147,8 @@ def _joined(df: DataFrame, known: DataFrame, database: str, table: str) -> DataF
     stars = [f"{r.pd}.{r.pt}" for r in wanted.where(only_stars).select(*halves).distinct().collect()]
     if stars:
         found.append(names.where(target_predicate(stars, F.col("d"), F.col("t"))))
-    hits = functools.reduce(DataFrame.unionByName, found).distinct()
-    return df.join(hits, (d == F.col("d")) & (t == F.col("t")), "left_semi")
+    hits = functools.reduce(DataFrame.unionByName, found).distinct().toDF("__d", "__t")
+    return df.join(hits, (d == F.col("__d")) & (t == F.col("__t")), "left_semi")
 
 
 def _like(value: str, pattern: str) -> Column:
