@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue import query, table
-from reconcile import sources, text
+from reconcile import plan, sources, text
 
 BLANKS = "replace(text, chr(10), '  ' || chr(9) || chr(13) || chr(10)) || ' ' || chr(9) || chr(10) || chr(10)"
 NORMAL = r"regexp_replace(regexp_replace({0}, '[^\S\n]+(\n|$)', '\1', 'g'), '\s+$', '')"
@@ -31,11 +31,14 @@ def line_change_counts(spark, sf_dir):
 
 
 def _diffed(spark, sf_dir, context):
-    pairs = table(spark, sf_dir, "documents").select(
-        "doc_id", text.normalize(F.col("text")).alias("old"), text.normalize(F.expr(OTHER)).alias("new")
-    ).where("old <> new")
-    diff = text.line_diff(F.concat(F.lit("doc."), F.col("doc_id").cast("string")), F.col("old"), F.col("new"), context)
-    return pairs.select("doc_id", diff.alias("diff"))
+    """Documents and their other version as two snapshots; the diff of those that changed."""
+    documents = table(spark, sf_dir, "documents")
+    planned = plan.plan(
+        documents.select("doc_id", "text"), documents.select("doc_id", F.expr(OTHER).alias("text")), ["doc_id"], normalize="trailing"
+    )
+    change = planned["changes"][0]
+    key = F.concat(F.lit("doc."), F.col("doc_id").cast("string"))
+    return planned.select("doc_id", text.line_diff(key, change["old_value"], change["new_value"], context).alias("diff"))
 
 
 @query(f"""SELECT doc_id, md5(old) AS old_hash, md5(new) AS new_hash FROM (

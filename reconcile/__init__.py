@@ -1,5 +1,9 @@
 """Reconcile tables on Spark: keyed snapshot diffs, drift details, apply and export."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from reconcile import sources
 from reconcile.functions import keys, text
 from reconcile.operators import definitions, drift, filters
@@ -7,6 +11,10 @@ from reconcile.plans import plan, results
 from reconcile.plans.definitions import plan_definitions, with_definition_details
 from reconcile.sinks import apply, export
 
+# The few Python functions that run in tasks travel with the job, so that this
+# package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "apply",
     "definitions",

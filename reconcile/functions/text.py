@@ -7,18 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reconcile.functions.linediff import unified
 
-_TRAILING = r"(?<![\p{IsWhite_Space}&&[^\n]])[\p{IsWhite_Space}&&[^\n]]++(?=\n|\z)"
-_AT_END = r"(?<!\p{IsWhite_Space})\p{IsWhite_Space}++\z"
+# The characters of the Unicode property White_Space, newline apart.
+WHITE_SPACE = "\t\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalize(text: Column) -> Column:
     """Drop white space at the end of every line and of the whole text.
 
     ``\\r\\n`` becomes ``\\n``. Indentation, inner blank lines, case and comments
-    stay. The look-behinds let a match start only at the head of a run of white
-    space, so that a long run inside a line costs one pass over it.
+    stay. Trimming line by line takes a fraction of the time of a regular
+    expression over the text.
     """
-    return F.regexp_replace(F.regexp_replace(text, _TRAILING, ""), _AT_END, "")
+    lines = F.transform(F.split(text, "\n", -1), lambda line: F.rtrim(line, F.lit(WHITE_SPACE)))
+    return F.rtrim(F.array_join(lines, "\n"), F.lit(WHITE_SPACE + "\n"))
 
 
 def line_diff(key: Column, old: Column, new: Column, context: int = 3) -> Column:

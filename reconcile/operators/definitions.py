@@ -25,17 +25,16 @@ _PARSED_DDL = (
 )
 
 
-def _parse_batch(texts: pa.Array) -> pa.Array:
-    parsed = [None if t is None else ddl.parse(t) for t in texts.to_pylist()]
-    for row in parsed:
-        if row is not None:
-            row["table_properties"] = list(row["table_properties"].items())
-    return pa.array(parsed, _PARSED)
+def parse(content: Column, full: bool = True) -> Column:
+    """``struct<columns, partitions, partitioned_by, table_properties>`` of a definition.
 
+    Without ``full``, ``partitions`` and ``table_properties`` stay empty and cost nothing.
+    """
 
-def parse(content: Column) -> Column:
-    """``struct<columns, partitions, partitioned_by, table_properties>`` of a definition."""
-    return F.arrow_udf(_parse_batch, _PARSED_DDL)(content)
+    def parse_batch(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else ddl.parse(t, full) for t in texts.to_pylist()], _PARSED)
+
+    return F.arrow_udf(parse_batch, _PARSED_DDL)(content)
 
 
 def _captured(content: Column, pattern: str) -> Column:

@@ -122,8 +122,8 @@ def change_details(
     known = F.col(old).isNotNull() & F.col(new).isNotNull()
     parsed = pairs.withColumns(
         {
-            "__was": definitions.parse(F.when(known, F.col(old))),
-            "__will": definitions.parse(F.when(known, F.col(new))),
+            "__was": definitions.parse(F.when(known, F.col(old)), table_properties),
+            "__will": definitions.parse(F.when(known, F.col(new)), table_properties),
         }
     )
     sides = parsed.withColumns(

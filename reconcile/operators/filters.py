@@ -99,7 +99,9 @@ def target_predicate(targets: Iterable[str], database: Column, table: Column) ->
         needs_both |= len(db_exact) > len(db_pushed) + 1 or len(tb_exact) > len(tb_pushed) + 1
     if not exact:
         return F.lit(False)
-    return _any(pushed) & _any(exact) if needs_both else _any(exact)
+    # coalesce keeps the optimizer from factoring out what both parts share,
+    # which would leave one disjunction again that no scan can use.
+    return _any(pushed) & F.coalesce(_any(exact), F.lit(False)) if needs_both else _any(exact)
 
 
 def target_semi_join(
