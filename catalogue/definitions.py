@@ -6,6 +6,8 @@ properties from the values that the text was built of.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalogue import query, table
@@ -133,6 +135,17 @@ def ddl_plan(spark, sf_dir):
     return _plan(spark, sf_dir).select(*KEYS, "operation")
 
 
+@query(OPERATIONS)
+def ddl_plan_staged(spark, sf_dir):
+    """By digests, with the texts of updated definitions fetched afterwards."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    staging = True if shared else tempfile.mkdtemp(prefix="run-") + "/plan"
+    planned = _plan(spark, sf_dir, staging=staging)
+    # An update that came without its diff would show here.
+    complete = (F.col("operation") != "Update") | F.col("text_diff").startswith("--- remote: ")
+    return planned.where(complete).select(*KEYS, "operation")
+
+
 COLUMN_CHANGES = [
     _named("'TypeChanged' AS change_type, 'id' AS column_name, 'int' AS old_type, 'bigint' AS new_type", big("ECONOMY")),
     _named("'Removed' AS change_type, 'location' AS column_name, 'string' AS old_type, NULL AS new_type", big("PROMO")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
@@ -39,22 +40,26 @@ def plan_definitions(
     context: int = 3,
     comments: bool = False,
     table_properties: bool = False,
-    staging: str | None = None,
+    staging: str | bool | None = None,
 ) -> DataFrame:
     """The plan of two definition corpora, details included.
 
-    By default every text travels once, to its key. With ``staging``, a path to
-    write to, only digests travel: the small plan is written there, read back
-    with its true size, and texts are fetched for updated keys alone; Spark
-    broadcasts those keys if they are few. That pays when little has changed.
+    By default every text travels once, to its key. With ``staging`` only digests
+    travel: the small plan is written there, read back with its true size, and
+    texts are fetched for updated keys alone; Spark broadcasts those keys if they
+    are few. That pays when little has changed. ``staging`` is a path that does
+    not exist yet, or True for one below the session's ``spark.checkpoint.dir``.
     """
     options = dict(compare=[content], normalize="trailing", include_unchanged=include_unchanged)
     if staging is None:
         planned = plan(current, desired, keys, targets=targets, where=where, **options)
         return with_definition_details(planned, keys, content, context, comments, table_properties)
+    spark = current.sparkSession
+    if staging is True:
+        staging = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/plan-{uuid.uuid4().hex}"
     targets = None if targets is None else list(targets)
     plan(current, desired, keys, targets=targets, where=where, details=False, **options).write.parquet(staging)
-    planned = current.sparkSession.read.parquet(staging)
+    planned = spark.read.parquet(staging)
     changed = planned.where(F.col("operation") == UPDATE).select(*keys)
 
     def texts(df: DataFrame, name: str) -> DataFrame:

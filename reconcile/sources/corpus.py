@@ -11,9 +11,9 @@ def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """``(definitions, errors)`` of the ``.sql`` files exactly two levels below ``base``.
 
     A base that is missing or no directory is an error. Files at other depths
-    and with other extensions are left out. Spark's listing has two gaps: it
-    hides names that start with ``_`` or ``.``, and gives no row for a file of
-    length zero. A corpus that needs those should come as a table.
+    and with other extensions are left out; empty files are kept. One gap is
+    Spark's own: its listing hides names that start with ``_``. A corpus that
+    has such tables should come as a table of files, see ``parse_corpus``.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -29,7 +29,16 @@ def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
         .load(base)
         .select("path", "content")
     )
-    return parse_corpus(files, root)
+    # The reader gives no row for a file of length zero. Such files are those
+    # that were listed and not read. The listing stays in the JVM that made it,
+    # and only paths are compared, no contents.
+    paths = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
+    strings = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    listed = DataFrame(spark._jsparkSession.createDataset(paths, strings).toDF(), spark)
+    # As URLs: escaped, and with three slashes where there is no host.
+    path = F.regexp_replace(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))), r"\A([^:/]+):///", "$1:/")
+    empty = listed.select(path.alias("path")).join(files.select("path"), "path", "left_anti")
+    return parse_corpus(files.unionByName(empty.withColumn("content", F.lit(b""))), root)
 
 
 def parse_corpus(files: DataFrame, base: str = "") -> tuple[DataFrame, DataFrame]:
