@@ -89,6 +89,9 @@ def target_predicate(targets: Iterable[str], database: Column, table: Column) ->
         plain.append(database.isin(whole_databases))
     if everywhere:
         plain.append(table.isin(everywhere))
+    if len(others) > MANY and not any("\n" in db + tb for db, tb in others):
+        hints = [(matches(database, db)[0] or matches(table, tb)[0] or [F.lit(True)])[0] for db, tb in others]
+        return _any(plain + hints) & F.coalesce(_any(plain + _alternatives(others, database, table)), F.lit(False))
     pushed, exact = list(plain), list(plain)
     needs_both = False
     for db, tb in others:
@@ -104,6 +107,30 @@ def target_predicate(targets: Iterable[str], database: Column, table: Column) ->
     return _any(pushed) & F.coalesce(_any(exact), F.lit(False)) if needs_both else _any(exact)
 
 
+MANY = 16  # wildcard patterns that still make an expression of their own each
+
+
+def _alternatives(patterns: list[tuple[str, str]], database: Column, table: Column) -> list[Column]:
+    """Wildcard patterns as three regular expressions: on either half, and on both joined.
+
+    The halves are joined by a newline, which neither a star nor, in these
+    patterns, a literal can stand for.
+    """
+
+    def regex(pattern: str) -> str:
+        return NOT_NEWLINE.join(map(_quoted, pattern.split("*")))
+
+    both = F.concat(database, F.lit("\n"), table)
+    by_database = [regex(db) for db, tb in patterns if tb == "*"]
+    by_table = [regex(tb) for db, tb in patterns if db == "*"]
+    by_both = [f"{regex(db)}\n{regex(tb)}" for db, tb in patterns if "*" not in (db, tb)]
+    return [
+        value.rlike("\\A(?:" + "|".join(found) + ")\\z")
+        for value, found in ((database, by_database), (table, by_table), (both, by_both))
+        if found
+    ]
+
+
 def target_semi_join(
     df: DataFrame, patterns: DataFrame, database: str, table: str, pattern: str = "pattern", max_inline: int = 200
 ) -> DataFrame:

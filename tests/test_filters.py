@@ -84,3 +84,13 @@ def test_predicates_reach_the_scan(spark, tmp_path, targets, pushed):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert pushed in shown[shown.index("PushedFilters") :]
+
+
+def test_many_wildcards_agree_with_each_alone(spark):
+    targets = [f"{d}.{t}" for d in ("sales*", "*db", "m*d*", "*", "**", "a*a", "db*1") for t in ("*o*", "c*s", "*", "TABLE*", "a*b*c", "**", "my*e")]
+    targets = [t for t in targets if t != "*.*"]
+    assert len(targets) > filters.MANY
+    assert kept(spark, targets) == set().union(*(kept(spark, [t]) for t in targets))
+    assert kept(spark, targets[2:3] + targets[30:]) == set().union(*(kept(spark, [t]) for t in targets[2:3] + targets[30:]))
+    fewer = [t for t in targets if not t.startswith("*") and not t.endswith("*")]
+    assert kept(spark, fewer * 2) == set().union(*(kept(spark, [t]) for t in fewer)) != set(NAMES)
