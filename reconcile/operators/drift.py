@@ -10,6 +10,8 @@ from reconcile.plans.plan import UPDATE
 # The kinds of column change, and the named properties.
 ADDED, REMOVED, TYPE_CHANGED, COMMENT_CHANGED = "Added", "Removed", "TypeChanged", "CommentChanged"
 PROPERTIES = ["location", "format", "partitions"]
+_COLUMN_CHANGES = "array<struct<change_type: string, column_name: string, old_type: string, new_type: string>>"
+_PROPERTY_CHANGES = "array<struct<property_name: string, old_value: string, new_value: string>>"
 
 
 def cell_changes(plan: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,13 +119,14 @@ def change_details(
     """``pairs`` with ``change_details``: column and property changes of two definitions in a row.
 
     Null where a text is null; both lists may be empty where the texts differ
-    elsewhere. Nothing is shuffled.
+    elsewhere. Equal texts are not parsed, and nothing is shuffled.
     """
     known = F.col(old).isNotNull() & F.col(new).isNotNull()
+    differ = F.col(old) != F.col(new)
     parsed = pairs.withColumns(
         {
-            "__was": definitions.parse(F.when(known, F.col(old)), table_properties),
-            "__will": definitions.parse(F.when(known, F.col(new)), table_properties),
+            "__was": definitions.parse(F.when(differ, F.col(old)), table_properties),
+            "__will": definitions.parse(F.when(differ, F.col(new)), table_properties),
         }
     )
     sides = parsed.withColumns(
@@ -131,7 +134,7 @@ def change_details(
     )
     was, will = F.col("__was"), F.col("__will")
     details = F.struct(
-        _merged_changes(was["columns"], will["columns"], comments).alias("column_changes"),
-        _property_changes(was, will, table_properties).alias("property_changes"),
+        F.coalesce(_merged_changes(was["columns"], will["columns"], comments), F.array().cast(_COLUMN_CHANGES)).alias("column_changes"),
+        F.coalesce(_property_changes(was, will, table_properties), F.array().cast(_PROPERTY_CHANGES)).alias("property_changes"),
     )
     return sides.withColumn("change_details", F.when(known, details)).drop("__was", "__will")

@@ -61,8 +61,9 @@ def plan(
     is an error too, or with ``duplicates="last"`` counts by its last row in
     ``order_by``. Both errors are raised by any action that reads ``operation``.
 
-    ``details=False`` leaves ``changes`` out; strings and binaries then travel
-    as SHA-256 digests, so that wide text is not shuffled to learn what changed.
+    ``details=False`` leaves ``changes`` out; strings and binaries of 32 bytes or
+    more then travel as their SHA-256 digests (32 bytes), so that wide text is
+    not shuffled to learn what changed.
 
     ``strategy="union"`` groups both sides in one exchange, after a partial
     aggregation that folds a repeated key where it is read. ``"join"`` groups
@@ -85,7 +86,8 @@ def plan(
         if isinstance(kind, T.MapType):
             column = F.array_sort(F.map_entries(column))  # maps have no order and no equality
         if not details and isinstance(kind, (T.StringType, T.BinaryType)):
-            column = F.unhex(F.sha2(column, 256))
+            raw = column.cast("binary")
+            column = F.when(F.octet_length(raw) < 32, raw).otherwise(F.unhex(F.sha2(raw, 256)))
         return column.alias(name)
 
     # What a side carries to its group: with values of fixed width only, each as a

@@ -69,7 +69,7 @@ def write_export(
     spark = snapshot.sparkSession
     targets = None if targets is None else list(targets)
     snapshot = scoped(snapshot, keys, targets, where)
-    existing = read_version(spark, root)
+    existing = read_version(spark, root, schema=snapshot.schema)
     totals = {r.status: r.n for r in export_totals(plan_export(snapshot, existing, keys, value, overwrite)).collect()}
     rows = exported_rows(snapshot, existing, keys, value, overwrite)
     container = keys[:1] if len(keys) > 1 else None

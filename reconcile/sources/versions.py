@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def _versions(spark: SparkSession, pattern: str) -> list[int]:
@@ -18,10 +19,18 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return max(_versions(spark, f"{root}/version=*/_SUCCESS"), default=None)
 
 
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
-    """A version, the latest by default; None if there is none yet."""
+def read_version(
+    spark: SparkSession, root: str, version: int | None = None, schema: StructType | None = None
+) -> DataFrame | None:
+    """A version, the latest by default; None if there is none yet.
+
+    Give the ``schema`` of a version written with ``partition_by``: without it
+    Spark guesses the type of those columns from directory names, and a
+    database called ``007`` would come back as a number.
+    """
     version = latest_version(spark, root) if version is None else version
-    return None if version is None else spark.read.parquet(f"{root}/version={version}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return None if version is None else reader.parquet(f"{root}/version={version}")
 
 
 def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:

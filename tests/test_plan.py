@@ -110,6 +110,14 @@ def test_types_of_compared_columns(spark):
     assert (changes[3].old_value, changes[3].new_value) == ("FF", "FE")
 
 
+def test_long_values_by_digest(spark):
+    long = "x" * 100
+    current = spark.createDataFrame([("a", "t", long, 1), ("a", "u", long, 1), ("a", "v", "x" * 32, 1), ("a", "w", None, 1)], SCHEMA)
+    desired = spark.createDataFrame([("a", "t", long, 1), ("a", "u", long + "y", 1), ("a", "v", "x" * 31, 1), ("a", "w", "", 1)], SCHEMA)
+    planned = plan.plan(current, desired, KEYS, details=False, include_unchanged=True)
+    assert operations(planned) == {("a", "t"): "NoChange", ("a", "u"): "Update", ("a", "v"): "Update", ("a", "w"): "Update"}
+
+
 def test_a_key_with_a_third_of_all_rows(spark):
     """The hot key is folded before the exchange, which then carries one row per task."""
     hot = spark.range(300_000).select(

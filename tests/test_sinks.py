@@ -75,6 +75,14 @@ def test_write_export(spark, tmp_path):
     assert (tmp_path / "version=1" / "database_name=m").is_dir()
 
 
+def test_containers_that_look_like_numbers(spark, tmp_path):
+    root = str(tmp_path)
+    snapshot = spark.createDataFrame([("007", "a", "1"), ("2024-01-01", "b", "1")], SCHEMA)
+    assert export.write_export(snapshot, root, KEYS, "content") == {"exported": 2}
+    assert export.write_export(snapshot, root, KEYS, "content") == {"skipped": 2}
+    assert rows(sources.read_version(spark, root, schema=snapshot.schema)) == rows(snapshot)
+
+
 def test_partitions_are_pruned(spark, tmp_path):
     path = str(tmp_path / "events")
     days = spark.range(1000).select("id", F.lit("2024").alias("year"), F.lit("01").alias("month"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0").alias("day"))
