@@ -119,14 +119,14 @@ def ddl_properties(spark, sf_dir):
 
 
 @query(_named(f"""CAST(CASE WHEN {big('PROMO')} THEN 5 ELSE 4 END AS int) AS n_columns, 'dt,region' AS partitions,
-  'day (1-31)' AS partition_comment, {OLD_LOCATION} AS location, CAST(NULL AS string) AS input_format, p_type AS kind"""))
+  'day (1-31)' AS partition_comment, {OLD_LOCATION} AS location, 'none' AS input_format, p_type AS kind"""))
 def ddl_table_definitions(spark, sf_dir):
     rows = definitions.table_definitions(_snapshots(spark, sf_dir)[0], KEYS)
     return rows.select(
         *KEYS, F.size("columns").alias("n_columns"),
         F.array_join(F.transform("partitions", lambda p: p["name"]), ",").alias("partitions"),
         F.col("partitions")[0]["comment"].alias("partition_comment"), "storage_descriptor.location",
-        "storage_descriptor.input_format", F.col("table_properties")["kind"].alias("kind"),
+        F.coalesce("storage_descriptor.input_format", F.lit("none")).alias("input_format"), F.col("table_properties")["kind"].alias("kind"),
     )
 
 
@@ -204,8 +204,8 @@ def ddl_table_property_changes(spark, sf_dir):
 
 
 @query(_union(
-    _named("'Create' AS operation, CAST(NULL AS int) AS n_columns, CAST(NULL AS int) AS n_properties", RENAMED, NEW_NAME),
-    _named("'Delete' AS operation, NULL AS n_columns, NULL AS n_properties", RENAMED),
+    _named("'Create' AS operation, CAST(-1 AS int) AS n_columns, CAST(-1 AS int) AS n_properties", RENAMED, NEW_NAME),
+    _named("'Delete' AS operation, CAST(-1 AS int) AS n_columns, CAST(-1 AS int) AS n_properties", RENAMED),
     _named("""'Update' AS operation, CAST(CASE WHEN p_type IN ('ECONOMY', 'PROMO', 'LARGE') THEN 1 ELSE 0 END AS int) AS n_columns,
       CAST(CASE WHEN p_type IN ('STANDARD', 'MEDIUM', 'ECONOMY') THEN 1 ELSE 0 END AS int) AS n_properties""", CHANGED),
 ))
@@ -214,7 +214,10 @@ def ddl_plan_details(spark, sf_dir):
     planned = _plan(spark, sf_dir)
     back = results.from_json(results.to_json_rows(planned), planned.schema)
     details = F.col("change_details")
+
+    def count(changes: str):  # -1 where there are no details
+        return F.when(details.isNull(), -1).otherwise(F.size(details[changes]))
+
     return back.select(
-        *KEYS, "operation", F.when(details.isNotNull(), F.size(details["column_changes"])).alias("n_columns"),
-        F.when(details.isNotNull(), F.size(details["property_changes"])).alias("n_properties"),
+        *KEYS, "operation", count("column_changes").alias("n_columns"), count("property_changes").alias("n_properties")
     )
