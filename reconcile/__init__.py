@@ -4,10 +4,10 @@ import sys
 
 from pyspark import cloudpickle
 
-from reconcile import sources
+from reconcile import plan, sources
 from reconcile.functions import keys, text
 from reconcile.operators import definitions, drift, filters
-from reconcile.plans import plan, results
+from reconcile.plans import results
 from reconcile.plans.definitions import plan_definitions, with_definition_details
 from reconcile.sinks import apply, export
 

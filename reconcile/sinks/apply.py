@@ -21,6 +21,7 @@ def reconciled(current: DataFrame, desired: DataFrame, plan: DataFrame, keys: li
 
     Only keys of the plan take part in the joins. A plan read from files has a
     known size; Spark broadcasts it when it is small, and neither table moves.
+    Rows of ``current`` that the plan does not name stay as they are.
     """
 
     def of(*operations: str) -> DataFrame:

@@ -15,7 +15,7 @@ def _versions(spark: SparkSession, pattern: str) -> list[int]:
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    """The highest ``<root>/version=N`` whose write has finished."""
+    """The highest ``<root>/version=N`` whose write has finished, as its ``_SUCCESS`` file tells."""
     return max(_versions(spark, f"{root}/version=*/_SUCCESS"), default=None)
 
 
