@@ -107,3 +107,14 @@ def corpus_definitions(spark, sf_dir):
 FROM documents WHERE {RIGHT_PLACE} AND (n_chars < 200 OR {BROKEN})""")
 def corpus_errors(spark, sf_dir):
     return _corpus(spark, sf_dir)[1]
+
+
+@query(f"""SELECT source AS database_name, lang || '_' || CAST(doc_id AS string) AS table_name, 'Delete' AS operation
+FROM documents WHERE NOT ({RIGHT_PLACE} AND n_chars >= 200)""")
+def corpus_plan_leaves_unreadable_files(spark, sf_dir):
+    """Files that could not be read are not taken for tables to delete; missing ones are."""
+    known = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("database_name"), F.expr("lang || '_' || CAST(doc_id AS string) AS table_name"), F.col("text").alias("content")
+    )
+    corpus = sources.with_unreadable(*_corpus(spark, sf_dir)).drop("source")
+    return plan.plan(known, corpus, ["database_name", "table_name"], required=["content"], details=False)

@@ -1,7 +1,7 @@
 """Everything about plans in one place: making them and reading them."""
 
 from reconcile.plans.definitions import plan_definitions, with_definition_details
-from reconcile.plans.plan import creates, deletes, last_rows, plan, repeated_keys, scoped, updates
+from reconcile.plans.plan import creates, deletes, last_rows, plan, repeated_keys, scoped, unreadable, updates
 from reconcile.plans.results import (
     changed_names,
     containers_to_create,
@@ -35,6 +35,7 @@ __all__ = [
     "summarize",
     "to_json_document",
     "to_json_rows",
+    "unreadable",
     "updates",
     "with_definition_details",
 ]

@@ -44,13 +44,16 @@ def plan_definitions(
 ) -> DataFrame:
     """The plan of two definition corpora, details included.
 
+    A definition without content could not be read; its key is left out of both
+    sides, see ``unreadable`` and ``sources.with_unreadable``.
+
     By default every text travels once, to its key. With ``staging`` only digests
     travel: the small plan is written there, read back with its true size, and
     texts are fetched for updated keys alone; Spark broadcasts those keys if they
     are few. That pays when little has changed. ``staging`` is a path that does
     not exist yet, or True for one below the session's ``spark.checkpoint.dir``.
     """
-    options = dict(compare=[content], normalize="trailing", include_unchanged=include_unchanged)
+    options = dict(compare=[content], required=[content], normalize="trailing", include_unchanged=include_unchanged)
     if staging is None:
         planned = plan(current, desired, keys, targets=targets, where=where, **options)
         return with_definition_details(planned, keys, content, context, comments, table_properties)

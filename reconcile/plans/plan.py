@@ -51,6 +51,7 @@ def plan(
     include_unchanged: bool = False,
     details: bool = True,
     strategy: str = "union",
+    required: list[str] | None = None,
 ) -> DataFrame:
     """``keys, operation, changes`` for every key on either side.
 
@@ -61,6 +62,10 @@ def plan(
     is an error too, or with ``duplicates="last"`` counts by its last row in
     ``order_by``. Both errors are raised by any action that reads ``operation``.
 
+    A row with null in a ``required`` column, one of those compared, could not be
+    read: its key takes part on neither side, so that it is not taken for a
+    deletion or creation. ``unreadable`` lists such rows.
+
     ``details=False`` leaves ``changes`` out; strings and binaries of 32 bytes or
     more then travel as their SHA-256 digests (32 bytes), so that wide text is
     not shuffled to learn what changed.
@@ -136,6 +141,10 @@ def plan(
         .when(differs, UPDATE)
         .otherwise(NO_CHANGE),
     )
+    for c, was, will in pairs:
+        if c in (required or []):
+            lost = ((F.col("__n_old") > 0) & was.isNull()) | ((F.col("__n_new") > 0) & will.isNull())
+            matched = matched.where(~lost)
     result = matched.withColumn("operation", operation)
     if not include_unchanged:
         result = result.where(F.col("operation") != NO_CHANGE)
@@ -157,6 +166,19 @@ def plan(
     return result.select(*keys, "operation", F.when(F.col("operation") == UPDATE, changes).alias("changes"))
 
 
+def unreadable(
+    current: DataFrame, desired: DataFrame, keys: list[str], required: list[str], targets=None, where=None
+) -> DataFrame:
+    """``keys, side`` of the rows in scope that lack a required value."""
+    targets = None if targets is None else list(targets)
+    lacking = functools.reduce(operator.or_, [F.col(c).isNull() for c in required])
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return scoped(df.where(lacking), keys, targets, where).select(*keys, F.lit(name).alias("side"))
+
+    return side(current, "current").unionByName(side(desired, "desired"))
+
+
 def creates(current: DataFrame, desired: DataFrame, keys: list[str], targets=None, where=None) -> DataFrame:
     """Keys on the desired side only, by an anti join on keys alone."""
     return _one_sided(desired, current, keys, CREATE, targets, where)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reconcile.functions.keys import is_identifier, path_names
+from reconcile.functions.keys import is_identifier, key_from_path, path_names
 
 
 def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
@@ -62,3 +62,13 @@ def parse_corpus(files: DataFrame, base: str = "") -> tuple[DataFrame, DataFrame
     definitions = named.where(reason.isNull()).select("names.*", "source", F.col("content").cast("string").alias("content"))
     errors = named.where(reason.isNotNull()).select("source", reason.alias("reason"))
     return definitions, errors
+
+
+def with_unreadable(definitions: DataFrame, errors: DataFrame) -> DataFrame:
+    """``definitions`` and, without content, those of ``errors`` whose path still names a key.
+
+    A plan then leaves these keys alone, where it would take a file that could
+    not be read for a table to delete.
+    """
+    lost = errors.select(key_from_path(F.col("source")).alias("key"), "source").where("key is not null")
+    return definitions.unionByName(lost.select("key.*", "source", F.lit(None).cast("string").alias("content")))

@@ -110,6 +110,15 @@ def test_types_of_compared_columns(spark):
     assert (changes[3].old_value, changes[3].new_value) == ("FF", "FE")
 
 
+@pytest.mark.parametrize("options", [{}, {"strategy": "join"}, {"details": False}, {"duplicates": "last", "order_by": ["n"]}])
+def test_unreadable_rows_take_part_on_neither_side(spark, options):
+    current = spark.createDataFrame([("a", "lost", None, 1), ("a", "lost there", "x", 1), ("a", "gone", "x", 1), ("a", "both", None, 1)], SCHEMA)
+    desired = spark.createDataFrame([("a", "lost", "x", 1), ("a", "lost there", None, 1), ("a", "new", None, 1), ("a", "both", None, 1)], SCHEMA)
+    assert operations(plan.plan(current, desired, KEYS, required=["v"], include_unchanged=True, **options)) == {("a", "gone"): "Delete"}
+    errors = {(r.t, r.side) for r in plan.unreadable(current, desired, KEYS, ["v"], targets=["a.*"]).collect()}
+    assert errors == {("lost", "current"), ("both", "current"), ("lost there", "desired"), ("new", "desired"), ("both", "desired")}
+
+
 def test_long_values_by_digest(spark):
     long = "x" * 100
     current = spark.createDataFrame([("a", "t", long, 1), ("a", "u", long, 1), ("a", "v", "x" * 32, 1), ("a", "w", None, 1)], SCHEMA)

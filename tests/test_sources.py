@@ -48,6 +48,11 @@ def test_read_corpus(spark, corpus):
     }
 
 
+def test_unreadable_files_keep_their_key(spark, corpus):
+    found = sources.with_unreadable(*sources.read_corpus(spark, str(corpus))).where("content is null").collect()
+    assert [(r.database_name, r.table_name) for r in found] == [("salesdb", "broken")]
+
+
 def test_base_must_be_a_directory(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         sources.read_corpus(spark, str(tmp_path / "missing"))
