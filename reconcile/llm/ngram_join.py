@@ -12,7 +12,8 @@ equal hashed counts, so boxes of unrelated points overlap everywhere and the wor
 is quadratic. The root is therefore a table of exact cells. Two sets that link
 differ in at most D shingles, where D follows from the size; cut into more than D
 groups by hash, at least one group is equal in both. Documents are joined on such
-equal groups, and only sets connected that way share a tree. No link is lost.
+equal groups, and only sets connected that way share a tree. Trees of the vectors
+alone part these cells further, before any shingle is moved. No link is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from reconcile.llm.tokens import Words, mix, sequence_hash, slices
 LEAST, WORDS = 85, 4
 #: Count vector groups, points of a page, shingles of a part of a large cell, shingles a cell's group should have.
 GROUPS, PAGE, PART, SOLID = 128, 32, 1_000_000, 3
+#: Largest count that a vector holds (it stands for any larger one), and points of a part of a large cell.
+FULL, POINTS = 255, 4096
 #: Ratio of the largest to the smallest size of a class.
 RATIO = 1.4
 #: Sets a task remembers in order to send the groups of copies only once.
@@ -105,6 +108,11 @@ def cell_keys(shingles: np.ndarray, tops: list[int], least: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each group, up to FULL."""
+    return np.minimum(np.bincount(shingles & np.uint64(GROUPS - 1), minlength=GROUPS), FULL).astype(np.uint8)
+
+
 def _marks(words: int, least: int):
     tops = _tops(least)
 
@@ -113,12 +121,13 @@ def _marks(words: int, least: int):
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0).cast(pa.int64())
             for start, end in slices(texts):
-                keys, owners, names, sizes = [], [], [], []
+                keys, owners, names, sizes, vectors = [], [], [], [], []
                 for row, shingles in enumerate(shingle_sets(Words(texts.slice(start, end - start)), words), start):
                     # A text without words links with nothing: it is a point of its own, named after its id.
                     name = digest(shingles) if len(shingles) else lone_name(ids[row].as_py())
                     names.append(name)
                     sizes.append(len(shingles))
+                    vectors.append(count_vector(shingles).tobytes())
                     if len(shingles) and name not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
@@ -142,7 +151,8 @@ def _marks(words: int, least: int):
                     pa.array(np.concatenate((names, owner))),
                     pa.concat_arrays([ids.slice(start, rows), pa.array(under, mask=lone)]),
                     pa.array(np.concatenate((np.asarray(sizes, np.int32), np.full(len(key), -1, np.int32)))),
-                ], names=["key", "set", "other", "n"])
+                    pa.array([*vectors, *[None] * len(key)], pa.binary()),
+                ], names=["key", "set", "other", "n", "counts"])
 
     return run
 
@@ -150,42 +160,38 @@ def _marks(words: int, least: int):
 class _Tree:
     """Pages of count vectors in order of size, each with its largest counts and its range of sizes."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.asarray([len(s) for s in sets])
-        self.order = np.argsort(self.sizes, kind="stable")
-        self.counts = np.empty((len(sets), GROUPS), np.uint16)
-        for at, i in enumerate(self.order):
-            self.counts[at] = np.minimum(np.bincount(sets[i] & np.uint64(GROUPS - 1), minlength=GROUPS), 65535)
-        self.starts = np.arange(0, len(sets), PAGE)
-        self.boxes = np.maximum.reduceat(self.counts, self.starts) if sets else self.counts
-        ordered = self.sizes[self.order]
-        self.least = ordered[self.starts]
-        self.most = ordered[np.minimum(self.starts + PAGE, len(sets)) - 1] if sets else self.least
-
-    def page(self, p: int) -> slice:
-        return slice(self.starts[p], self.starts[p] + PAGE)
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
+        self.order = np.argsort(sizes, kind="stable")
+        self.counts = vectors[self.order]
+        self.starts = np.arange(0, len(sizes), PAGE)
+        self.ends = np.minimum(self.starts + PAGE, len(sizes))
+        self.boxes = np.maximum.reduceat(self.counts, self.starts)
+        self.least, self.most = sizes[self.order[self.starts]], sizes[self.order[self.ends - 1]]
 
 
 def tree_join(left: _Tree, right: _Tree, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i of left, js of right) whose summed coordinate minima allow a link. Counts of 65,535 stand for more."""
+    """(i of left, js of right) whose summed coordinate minima allow a link; each pair once if the trees are one."""
+    same = left is right
     for p in range(len(left.starts)):
         need = least * (left.least[p] + right.least) / (100 + least)
         fits = (100 * right.most >= least * left.least[p]) & (100 * left.most[p] >= least * right.least)
-        bound = np.minimum(left.boxes[p], right.boxes).sum(axis=1, dtype=np.int64)
-        pages = np.flatnonzero(fits & ((bound >= need - 1e-6) | (right.boxes.max(axis=1) == 65535)))
+        fits &= (np.arange(len(fits)) >= p) | (not same)
+        pages = np.flatnonzero(fits)
+        bound = np.minimum(left.boxes[p], right.boxes[pages]).sum(axis=1, dtype=np.int64)
+        pages = pages[(bound >= need[pages] - 1e-6) | (right.boxes[pages].max(axis=1) == FULL)]
         if not len(pages):
             continue
-        rows = np.concatenate([np.arange(right.starts[q], min(right.starts[q] + PAGE, len(right.order))) for q in pages])
+        rows = np.concatenate([np.arange(right.starts[q], right.ends[q]) for q in pages])
         theirs, their_sizes = right.counts[rows], right.sizes[right.order[rows]]
-        for at in range(left.starts[p], min(left.starts[p] + PAGE, len(left.order))):
+        for at in range(left.starts[p], left.ends[p]):
             i = left.order[at]
             size = left.sizes[i]
-            bound = np.minimum(left.counts[at], theirs).sum(axis=1, dtype=np.int64)
-            keep = (100 * np.minimum(size, their_sizes) >= least * np.maximum(size, their_sizes)) & (
-                ((100 + least) * bound >= least * (size + their_sizes)) | (left.counts[at].max() == 65535)
-            )
-            if keep.any():
-                yield i, right.order[rows[keep]]
+            near = np.flatnonzero((100 * np.minimum(size, their_sizes) >= least * np.maximum(size, their_sizes)) & ((rows > at) | (not same)))
+            bound = np.minimum(left.counts[at], theirs[near]).sum(axis=1, dtype=np.int64)
+            near = near[((100 + least) * bound >= least * (size + their_sizes[near])) | (left.counts[at].max() == FULL)]
+            if len(near):
+                yield i, right.order[rows[near]]
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, least: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -196,11 +202,8 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, least: int)
     ends = np.cumsum([0, *map(len, left), *map(len, right or [])])
     shift = 0 if right is None else len(left)
     mark = np.zeros(dense.max(initial=0) + 1, np.int64)
-    tree = _Tree(left)
-    for i, js in tree_join(tree, tree if right is None else _Tree(right), least):
-        js = js[js > i] if right is None else js
-        if not len(js):
-            continue
+    trees = [_Tree(np.stack([count_vector(x) for x in part]), np.asarray([len(x) for x in part])) for part in (left, right) if part is not None]
+    for i, js in tree_join(trees[0], trees[-1], least):
         mine = dense[ends[i] : ends[i + 1]]
         mark[mine] = 1
         starts, lengths = ends[js + shift], np.asarray([len(other[j]) for j in js])
@@ -213,11 +216,30 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, least: int)
             yield i, js
 
 
-def _verify(least: int):
-    def links(parts_differ: bool, rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int, int]]:
-        """(set, the set it hangs under, linked documents) from (part, set, copies, shingles) of one or two parts of a cell."""
-        names = np.asarray([r[1] for r in rows], np.int64)
-        copies = np.asarray([r[2] for r in rows], np.int64)
+def _grouped(batches: Iterator[pa.RecordBatch], value) -> Iterator[tuple[int, int, dict]]:
+    """(low, high, rows by set) of each cell's two parts, from rows sorted by cell, low, high; rows are (part, set, copies, value)."""
+    group, held = None, {}
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for row, (cell, low, high, part, name, copies) in enumerate(zip(*columns)):
+            if (cell, low, high) != group:
+                if group and len(held) > 1:
+                    yield *group[1:], held
+                group, held = (cell, low, high), {}
+            held.setdefault(name, (part, name, copies, value(batch, row)))
+    if group and len(held) > 1:
+        yield *group[1:], held
+
+
+def _links(groups: Iterator[tuple[int, int, dict]], pairs_of) -> Iterator[pa.RecordBatch]:
+    """a, the set b it hangs under, and the documents it links to, by the pairs that ``pairs_of`` finds in or between two parts."""
+    for low, high, held in groups:
+        rows = list(held.values())
+        first = [i for i, r in enumerate(rows) if r[0] == rows[0][0]]
+        rest = [i for i, r in enumerate(rows) if r[0] != rows[0][0]]
+        if low != high and not rest:
+            continue
+        names, copies = (np.asarray([r[k] for r in rows], np.int64) for k in (1, 2))
         parents, counts = list(range(len(rows))), np.zeros(len(rows), np.int64)
 
         def root(i: int) -> int:
@@ -226,44 +248,53 @@ def _verify(least: int):
                 i = parents[i]
             return i
 
-        first = rows[0][0]
-        mine = [i for i, r in enumerate(rows) if r[0] == first]
-        rest = [i for i, r in enumerate(rows) if r[0] != first]
-        if parts_differ and not rest:
-            return []
-        pairs = _linked([rows[i][3] for i in mine], [rows[i][3] for i in rest] if rest else None, least)
-        for i, js in pairs:
-            i, js = mine[i], np.asarray(rest if rest else mine)[js]
+        mine, theirs = np.asarray(first), np.asarray(rest or first)
+        for i, js in pairs_of([rows[i][3] for i in first], [rows[i][3] for i in rest] if rest else None):
+            i, js = mine[i], theirs[js]
             counts[i] += copies[js].sum()
             counts[js] += copies[i]
             for j in js.tolist():
-                a, b = root(i), root(j)
+                a, b = root(int(i)), root(j)
                 parents[max(a, b)] = min(a, b)
-        return [(int(names[i]), int(names[root(i)]), int(counts[i])) for i in range(len(rows)) if counts[i]]
+        some = np.flatnonzero(counts)
+        roots = np.asarray([root(int(i)) for i in some], np.int64)
+        yield pa.record_batch([pa.array(names[some]), pa.array(names[roots]), pa.array(counts[some])], names=["a", "b", "links"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found):
-            columns = list(zip(*found)) or [()] * 3
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
-        group, held = None, {}
-        for batch in batches:
-            found = []
-            cells, lows, highs, parts, sets, copies = (batch.column(i).to_pylist() for i in range(6))
-            shingles = batch.column(6)
-            for row, key in enumerate(zip(cells, lows, highs)):
-                if key != group:
-                    if len(held) > 1:
-                        found += links(group[1] != group[2], list(held.values()))
-                    group, held = key, {}
-                held.setdefault(sets[row], (parts[row], sets[row], copies[row], shingles[row].values.to_numpy().view(np.uint64)))
-            yield out(found)
-        if len(held) > 1:
-            yield out(links(group[1] != group[2], list(held.values())))
+def _verify(least: int):
+    """Links of the sets of each cell, by their shingles."""
+
+    def run(batches):
+        groups = _grouped(batches, lambda batch, row: batch.column(6)[row].values.to_numpy().view(np.uint64))
+        yield from _links(groups, lambda left, right: _linked(left, right, least))
 
     return run
 
 
+def _near(least: int):
+    """Links that the count vectors of each cell leave possible."""
+
+    def tree(points: list) -> _Tree:
+        return _Tree(np.frombuffer(b"".join(v for v, _ in points), np.uint8).reshape(-1, GROUPS), np.asarray([n for _, n in points]))
+
+    def pairs(left, right):
+        own = tree(left)
+        return tree_join(own, own if right is None else tree(right), least)
+
+    def run(batches):
+        yield from _links(_grouped(batches, lambda batch, row: (batch.column(6)[row].as_py(), batch.column(7)[row].as_py())), pairs)
+
+    return run
+
+
+def _by_cell(rows: DataFrame, *values: str) -> DataFrame:
+    """rows (set, cell, parts, ...) so that every two of a cell's parts come together, sorted, in a partition."""
+    rows = rows.withColumn("part", F.expr("cast(pmod(hash(set), parts) as int)"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("cell", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "set", "copies", *values)
+    return rows.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+
+
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,29 +325,32 @@ def ngram_join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataF
     other, and its component is null only if no member has an id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = rows.mapInArrow(_marks(words, least), "key long, set long, other long, n int")
+    marks = rows.mapInArrow(_marks(words, least), "key long, set long, other long, n int, counts binary")
     # All sets of a key hang under its least one.
     in_key = Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     under = F.when(F.col("n") < 0, F.coalesce("other", F.min("set").over(in_key)))
     found = marks.withColumn("under", under).where("n >= 0 OR set <> under")
-    found = found.select("set", "under", "n", F.when(F.col("n") >= 0, F.col("other")).alias("doc_id"))
-    found = cut(found.groupBy("set", "under", "n", "doc_id").agg(F.count("*").alias("times")))
+    found = cut(found.select("set", "under", "n", F.when(F.col("n") >= 0, F.col("other")).alias("doc_id"), "counts"))
 
-    members = found.where("n >= 0").select("doc_id", "set", "n", "times")
+    members = found.where("n >= 0").groupBy("doc_id", "set", "n").agg(F.count("*").alias("times"))
     sets = members.groupBy("set").agg(F.min("doc_id").alias("first"), F.sum("times").alias("copies"), F.max("n").alias("n"))
-    cells = connected_components(found.where("n < 0").select(F.col("set").alias("a"), F.col("under").alias("b")))
-    cells = cells.select(F.col("node").alias("set"), F.col("component").alias("cell"))
-    points = cut(sets.join(cells, "set").select("set", "cell", "first", "copies", "n"))
-    parts = points.groupBy("cell").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
-    points = points.join(parts, "cell")
-    texts = rows.join(few(points), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "set", "cell", "copies", "parts")
-    trees = texts.mapInArrow(_shingles(words), "set long, cell long, copies long, parts int, shingles array<long>")
-    # A large cell is cut into parts, and every two parts meet in a task of their own.
-    trees = trees.withColumn("part", F.expr("cast(pmod(hash(set), parts) as int)"))
-    trees = trees.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    trees = trees.select("cell", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "set", "copies", "shingles")
-    trees = trees.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
-    links = cut(trees.mapInArrow(_verify(least), "a long, b long, links long"))
+    edges = found.where("n < 0").select(F.col("set").alias("a"), F.col("under").alias("b"))
+    sets = cut(sets)
+    links = None
+    # First the trees of each cell alone, then, for what they leave, with the shingles.
+    for by_shingles in (False, True):
+        cells = connected_components(edges).select(F.col("node").alias("set"), F.col("component").alias("cell"))
+        points = cut(sets.join(cells, "set").select("set", "cell", "first", "copies", "n"))
+        parts = F.sum("n") / PART if by_shingles else F.count("*") / POINTS
+        points = points.join(points.groupBy("cell").agg(F.ceil(parts).cast("int").alias("parts")), "cell")
+        if not by_shingles:
+            vectors = found.where("n > 0").join(points.select("set"), "set", "left_semi").groupBy("set").agg(F.first("counts").alias("counts"))
+            near = _by_cell(points.join(vectors, "set"), "counts", "n").mapInArrow(_near(least), "a long, b long, links long")
+            edges = cut(near.select("a", "b"))
+        else:
+            texts = rows.join(few(points), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "set", "cell", "copies", "parts")
+            trees = texts.mapInArrow(_shingles(words), "set long, cell long, copies long, parts int, shingles array<long>")
+            links = cut(_by_cell(trees, "shingles").mapInArrow(_verify(least), "a long, b long, links long"))
 
     linked = connected_components(links.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("root"))
     n_links = links.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
