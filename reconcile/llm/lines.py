@@ -14,18 +14,27 @@ import random
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reconcile.llm.components import connected_components
-from reconcile.llm.storage import cut
+from reconcile.llm.storage import cut, few
 
 #: Characters of a shingle, the similarity of a link; BANDS bands of ROWS minima find 0.8 with a chance of 99.7 %, 0.9 with more than 99.999 %.
 SHINGLE, LEAST = 9, 0.8
 BANDS, ROWS = 8, 3
+#: Lines of a page, when those of a band that its leader doesn't join meet the others.
+PAGE = 32
 
 
-def shingles(line: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` UTF-16 units of line; the line itself if it has no more."""
-    units = F.encode(line, "UTF-16BE")
-    count = F.greatest(F.octet_length(units) / 2 - (size - 1), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(units, 2 * i - 1, F.lit(2 * size))))
+def shingle_set(units: Column, size: int = SHINGLE) -> Column:
+    """Hashes of the distinct runs of ``size`` characters (UTF-16 units, as bytes); of the line itself if it has no more.
+
+    ``units`` must be a value that exists, as it is read for every run.
+    """
+    count = F.greatest(F.floor(F.octet_length(units) / 2) - (size - 1), F.lit(1)).cast("int")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(units, 2 * i - 1, F.lit(2 * size)))))
+
+
+def similar(a: Column, b: Column, least: float = LEAST) -> Column:
+    """Whether the Jaccard similarity of two sets is at least that: shared >= least * (a + b - shared)."""
+    return F.size(F.array_intersect(a, b)) * (1 + least) >= least * (F.size(a) + F.size(b)) - 1e-9
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -46,17 +55,6 @@ def signatures(lines: DataFrame, seed: int = 3) -> DataFrame:
     return hashed.groupBy("id").agg(F.first("n").alias("n"), *minima)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose shingle sets are as similar as that."""
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    sets = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", F.array_distinct(shingles(F.col("line_a"), SHINGLE)).alias("sa"), F.array_distinct(shingles(F.col("line_b"), SHINGLE)).alias("sb")
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return sets.withColumn("shared", shared).where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
-
-
 def line_components(lines: DataFrame, least: float = LEAST) -> DataFrame:
     """id, component of the distinct lines that are similar to another."""
     signed = signatures(lines)
@@ -66,21 +64,46 @@ def line_components(lines: DataFrame, least: float = LEAST) -> DataFrame:
     order = Window.partitionBy("band").orderBy(F.col("n").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     led = cut(members.withColumn("leader", F.first("id").over(order)).where("id <> leader").select("band", "id", "leader"))
     wanted = led.select("id").unionByName(led.select(F.col("leader").alias("id"))).distinct()
-    texts = cut(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-    links = cut(_similar(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, least))
-    found = connected_components(links).withColumnRenamed("component", "root")
+    texts = cut(lines.join(few(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+
+    pairs = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    units = F.array(*(F.struct(F.encode(line, "UTF-16BE").alias("units")) for line in ("line_a", "line_b")))
+    both = F.transform(units, lambda x: shingle_set(x["units"]))
+    alike = F.exists(F.array(both), lambda two: similar(two[0], two[1], least))
+    links = cut(pairs.where(alike).select("a", "b"))
+    found = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("root"))
+
     # Two lines of a band in different components: one at least is not in the leader's, and meets all others.
-    placed = led.select("band", "id", "leader").unionByName(led.select("band", F.col("leader").alias("id"), "leader").distinct())
-    roots = found.withColumnRenamed("node", "id")
-    placed = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = led.unionByName(led.select("band", F.col("leader").alias("id"), "leader").distinct())
+    placed = placed.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = placed.where("id = leader").select("band", F.col("root").alias("head"))
-    placed = placed.join(heads, "band")
-    apart = placed.where("root <> head").select("band", F.col("id").alias("a"), F.col("root").alias("root_a"))
-    others = placed.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"), "leader")
-    more = apart.join(others, "band").where("root_a <> root_b AND b <> leader")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    everything = links.unionByName(_similar(more, texts, least))
-    return connected_components(everything).select(F.col("node").alias("id"), "component")
+    placed = cut(placed.join(heads, "band").select("band", "id", "root", F.col("root") != F.col("head")))
+    placed = placed.toDF("band", "id", "root", "apart")
+    # They meet in pages of PAGE lines, so that a band is neither one task's nor paired row by row.
+    split = placed.where("apart").select("band").distinct()
+    members = placed.join(split, "band", "left_semi").join(texts, "id")
+    in_band = Window.partitionBy("band", "apart").orderBy("id")
+    members = members.withColumn("page", F.floor((F.row_number().over(in_band) - 1) / PAGE))
+    pages = members.groupBy("band", "apart", "page").agg(F.collect_list(F.struct("id", "root", "line")).alias("page_lines"))
+    left = pages.where("apart").select("band", F.col("page").alias("at"), F.col("page_lines").alias("left"))
+    right = pages.select("band", "apart", "page", F.col("page_lines").alias("right"))
+    met = left.join(right, "band").where("NOT apart OR page >= at")
+
+    def sets(lines: str) -> Column:
+        units = F.transform(lines, lambda x: F.struct(x["id"].alias("id"), x["root"].alias("root"), F.encode(x["line"], "UTF-16BE").alias("units")))
+        return F.transform(units, lambda x: F.struct(x["id"].alias("id"), x["root"].alias("root"), shingle_set(x["units"]).alias("set")))
+
+    def partners(x: Column, others: Column) -> Column:
+        linked = F.filter(others, lambda y: (y["root"] != x["root"]) & similar(x["set"], y["set"], least))
+        return F.transform(linked, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+
+    # One struct of both pages' sets, so that each set is made once.
+    both = F.array(F.struct(sets("left").alias("left"), sets("right").alias("right")))
+    found = F.transform(both, lambda two: F.flatten(F.transform(two["left"], lambda x: partners(x, two["right"]))))
+    more = met.select(F.explode(F.flatten(found)).alias("link")).select("link.a", "link.b")
+    return connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
 
 
 def repeated_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
