@@ -22,8 +22,9 @@ from reconcile.llm.tokens import Words, sequence_hash, slices
 SEEDS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 #: Words that an overlap must have (or all of a shorter item that has SHORTEST), and percent of them that are equal.
 OVERLAP, SHORTEST, EQUAL = 13, 8, 80
-#: The filter of benchmark hashes has 16 bits a hash, within these powers of two: 16 MB at most.
-FILTER_BITS = (20, 27)
+#: The Bloom filter of benchmark hashes has 64 bits a hash, within these powers of two: 16 MB at most.
+#: A hash sets the bits that it has from each of the places on.
+FILTER_BITS, PLACES = (20, 27), (0, 12, 24, 36)
 
 
 def seed_hashes(words: Words, seeds=SEEDS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -42,19 +43,17 @@ def seed_hashes(words: Words, seeds=SEEDS) -> list[tuple[np.ndarray, np.ndarray]
 
 def longest_overlap(equal: np.ndarray, percent: int = EQUAL) -> tuple[int, int, int]:
     """(start, length, equal words) of the longest stretch of which so many percent are equal."""
-    gain = np.where(equal, 100 - percent, -percent)
-    heights = np.concatenate(([0], np.cumsum(gain)))
-    lowest = np.minimum.accumulate(heights)
-    # The first place that is no higher than each end; lowest falls, so it is found by bisection.
-    first = np.searchsorted(-lowest, -heights, side="left")
-    lengths = np.arange(len(heights)) - first
-    end = int(lengths.argmax())
-    start = int(first[end])
-    # Unequal words at either end add nothing.
-    inside = np.flatnonzero(equal[start:end])
-    if not len(inside):
-        return start, 0, 0
-    return start + int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside)
+    if not equal.any():
+        return 0, 0, 0
+    heights = np.concatenate(([0], np.cumsum(np.where(equal, 100 - percent, -percent))))
+    # A stretch begins and ends with an equal word; the first start that is no higher than the
+    # end is found by bisection, as the least height of the starts so far only falls.
+    lowest = np.minimum.accumulate(np.where(equal, heights[:-1], 101 * len(equal)))
+    ends = np.flatnonzero(equal) + 1
+    starts = np.searchsorted(-lowest, -heights[ends], side="left")
+    longest = int((ends - starts).argmax())
+    start, end = int(starts[longest]), int(ends[longest])
+    return start, end - start, int(equal[start:end].sum())
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,8 +77,10 @@ def _hits(bits: int, present: np.ndarray):
             for start, end in slices(batch.column(1)):
                 words = Words(batch.column(1).slice(start, end - start))
                 at, names = (np.concatenate(x) for x in zip(*seed_hashes(words)))
-                place = names >> np.uint64(64 - bits)
-                hit = np.flatnonzero(present[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                hit = np.arange(len(names))
+                for shift in PLACES:
+                    place = names[hit] >> np.uint64(shift) & np.uint64((1 << bits) - 1)
+                    hit = hit[(present[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1) == 1]
                 rows = np.searchsorted(words.first, at[hit], side="right") - 1
                 order = np.argsort(rows, kind="stable")
                 hit, rows = hit[order], rows[order]
@@ -122,9 +123,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = cut(benchmark.select("item_id", "text").mapInArrow(_items, "item_id long, item array<long>, seeds array<struct<hash:long,at:int>>").withColumn("entry", F.monotonically_increasing_id()))
     hashes = items.select("entry", F.explode("seeds").alias("seed")).select("entry", "seed.hash", F.col("seed.at").alias("in_item"))
     least, most = FILTER_BITS
-    bits = min(max((16 * hashes.count()).bit_length(), least), most)
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    octets = hashes.groupBy(F.shiftright(place, 3).alias("octet")).agg(F.expr(f"bit_or(shiftleft(1, cast(shiftrightunsigned(hash, {64 - bits}) & 7 as int)))").alias("bits"))
+    bits = min(max((64 * hashes.count()).bit_length(), least), most)
+    places = F.array(*(F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in PLACES))
+    octets = hashes.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 3).alias("octet"))
+    octets = octets.agg(F.expr("bit_or(shiftleft(1, cast(place & 7 as int)))").alias("bits"))
     present = np.zeros(1 << (bits - 3), np.uint8)
     for octet, value in octets.toLocalIterator():  # at most 2^24 rows, whatever the benchmark
         present[octet] = value
