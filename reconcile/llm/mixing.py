@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, slots: int =
     rows count as different documents, a null source is a source of its own, an
     empty table gives an empty result; other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size")))  # the texts are read once
     plan = _plan(source_targets(sized, weights, most), slots, block_words, most)
     order = F.xxhash64(F.lit("mix"), "doc_id", "size")
     chunk = F.shiftrightunsigned(order, 64 - CHUNKS.bit_length() + 1)
