@@ -43,8 +43,8 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def _tops(least: int) -> list[int]:
-    """Largest size of each class; sets of the first class link with equal sets only."""
-    tops = [(99 + 100 - least) // (100 - least) - 1]
+    """Largest size of each class; sets of the first class link with equal sets only, as n / (n + 1) is too little."""
+    tops = [-(-least // (100 - least)) - 1]
     while tops[-1] < 1 << 40:
         tops.append(max(tops[-1] + 1, int(tops[-1] * RATIO)))
     return tops

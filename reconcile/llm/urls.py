@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reconcile.llm.storage import salted_lookup
 
@@ -61,7 +61,7 @@ def unigrams(pages: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _viterbi(labels: pd.Series, edges: pd.Series) -> pd.Series:
     def cut(label: str, found) -> list[str]:
         ends: list[list[tuple[int, float]]] = [[] for _ in range(len(label) + 1)]
