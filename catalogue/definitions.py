@@ -6,11 +6,9 @@ properties from the values that the text was built of.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
-from catalogue import query, table
+from catalogue import query, table, work_folder
 from reconcile import definitions, drift, plan_definitions, results
 
 KEYS = ["database_name", "table_name"]
@@ -138,9 +136,7 @@ def ddl_plan(spark, sf_dir):
 @query(OPERATIONS)
 def ddl_plan_staged(spark, sf_dir):
     """By digests, with the texts of updated definitions fetched afterwards."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    staging = True if shared else tempfile.mkdtemp(prefix="run-") + "/plan"
-    planned = _plan(spark, sf_dir, staging=staging)
+    planned = _plan(spark, sf_dir, staging=work_folder(spark))
     # An update that came without its diff would show here.
     complete = (F.col("operation") != "Update") | F.col("text_diff").startswith("--- remote: ")
     return planned.where(complete).select(*KEYS, "operation")
@@ -158,12 +154,12 @@ COMMENT_CHANGES = _named(
 
 @query(_union(*COLUMN_CHANGES))
 def ddl_column_changes(spark, sf_dir):
-    return _plan(spark, sf_dir).select(*KEYS, F.inline("change_details.column_changes"))
+    return drift.column_changes_of(_plan(spark, sf_dir), KEYS)
 
 
 @query(_union(*COLUMN_CHANGES, COMMENT_CHANGES))
 def ddl_column_changes_with_comments(spark, sf_dir):
-    return _plan(spark, sf_dir, comments=True).select(*KEYS, F.inline("change_details.column_changes"))
+    return drift.column_changes_of(_plan(spark, sf_dir, comments=True), KEYS)
 
 
 
@@ -193,7 +189,7 @@ PROPERTY_CHANGES = [
 
 @query(_union(*PROPERTY_CHANGES))
 def ddl_property_changes(spark, sf_dir):
-    return _plan(spark, sf_dir).select(*KEYS, F.inline("change_details.property_changes"))
+    return drift.property_changes_of(_plan(spark, sf_dir), KEYS)
 
 
 @query(_union(*PROPERTY_CHANGES, _named("'kind' AS property_name, 'LARGE' AS old_value, 'huge' AS new_value", big("LARGE"))))

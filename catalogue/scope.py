@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
+import re
+
+from pyspark.sql import DataFrame, functions as F
 
 from catalogue import query, table
 from reconcile import definitions, filters, keys
@@ -46,21 +49,44 @@ def _semi_sql(patterns: list[str]) -> str:
       WHERE EXISTS (SELECT 1 FROM halves WHERE regexp_full_match(d, pd) AND regexp_full_match(t, pt))"""
 
 
-def _semi_join(spark, sf_dir, patterns, max_inline):
-    for name in ("part", "region", "supplier", "nation"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    named = spark.sql(f"SELECT {PART_NAMES} FROM part")
-    return filters.target_semi_join(named, spark.sql(" UNION ALL ".join(patterns)), "d", "t", max_inline=max_inline)
+def _semi_join(spark, sf_dir, patterns):
+    given = {name: table(spark, sf_dir, name) for name in ("part", "region", "supplier", "nation")}
+
+    def sql(text: str):
+        # Tables are named by {name}; no view is left behind in the session.
+        used = {name: df for name, df in given.items() if re.search(rf"FROM {name}\b", text)}
+        return spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", text), **used)
+
+    named = sql(f"SELECT {PART_NAMES} FROM part")
+    chosen = functools.reduce(DataFrame.unionByName, map(sql, patterns))
+    return filters.target_semi_join(named, chosen, "d", "t")
 
 
 @query(_semi_sql(SMALL_PATTERNS))
 def target_semi_join(spark, sf_dir):
-    return _semi_join(spark, sf_dir, SMALL_PATTERNS, 200)
+    return _semi_join(spark, sf_dir, SMALL_PATTERNS)
 
 
 @query(_semi_sql(PATTERNS))
 def target_semi_join_joined(spark, sf_dir):
-    return _semi_join(spark, sf_dir, PATTERNS, 0)
+    return _semi_join(spark, sf_dir, PATTERNS)
+
+
+NULL_NAMES = """SELECT CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE lower(replace(p_brand, '#', '_')) END AS d,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 't' || CAST(p_partkey AS string) END AS t FROM part"""
+
+
+@query(f"""SELECT d, t FROM ({NULL_NAMES}) WHERE coalesce(d IN (SELECT 'brand_' || CAST(r_regionkey AS string) FROM region), false)
+  OR coalesce(t IN (SELECT 't' || CAST(s_suppkey AS string) FROM supplier), false)""")
+def target_semi_join_nulls(spark, sf_dir):
+    """Unknown databases and members: a lone star takes them, nothing else does."""
+    named = table(spark, sf_dir, "part").selectExpr(
+        "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE lower(replace(p_brand, '#', '_')) END AS d",
+        "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 't' || CAST(p_partkey AS string) END AS t",
+    )
+    databases = table(spark, sf_dir, "region").selectExpr("'brand_' || CAST(r_regionkey AS string) || '.*' AS pattern")
+    members = table(spark, sf_dir, "supplier").selectExpr("'*.t' || CAST(s_suppkey AS string) AS pattern")
+    return filters.target_semi_join(named, databases.unionByName(members), "d", "t")
 
 
 URL_KEY = "regexp_replace(url, '[?#].*', '') || '.sql'"

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from catalogue import query, table
+from catalogue import query, table, work_folder
 from reconcile import apply, drift, export, plan, results
+from reconcile.sources import read_version
 
 NEW_KEY = "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN -1 - o_orderkey ELSE o_orderkey END"
 NEW_STATUS = "CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END"
@@ -284,6 +285,41 @@ def export_rows(spark, sf_dir):
     return export.exported_rows(snapshot, orders.where(EXISTING), ["o_orderkey"], "content")
 
 
+@query(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'skipped' END AS status, {VALUE} AS content FROM orders")
+def export_written(spark, sf_dir):
+    """Exported in two parts and read back: a further run would skip what is there and report the rest."""
+    orders, root = table(spark, sf_dir, "orders"), work_folder(spark)
+    snapshot = orders.selectExpr("o_orderkey", f"{VALUE} AS content")
+    for part in (snapshot.join(orders.where(EXISTING).select("o_orderkey"), "o_orderkey", "left_semi"), snapshot):
+        export.write_export(part, root, ["o_orderkey"], "content")
+    written = read_version(spark, root, schema=snapshot.schema)
+    return export.plan_export(snapshot, written, ["o_orderkey"], "content").join(written, "o_orderkey", "left")
+
+
+LINE, LAST = ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@query(f"""SELECT {", ".join(LINE + LAST[1:])} FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY {", ".join(LINE)} ORDER BY {", ".join(c + " DESC" for c in LAST)}) = 1""")
+def apply_last_wins(spark, sf_dir):
+    """Keys repeat on the desired side, and the last row of each is put in."""
+    desired = table(spark, sf_dir, "lineitem").select(*LINE, *LAST)
+    current = plan.last_rows(desired.where("l_linenumber < 4").withColumn("l_quantity", F.col("l_quantity") + 1), LINE, LAST)
+    planned = plan.plan(current.select(*LINE, *LAST), desired, LINE, duplicates="last", order_by=LAST)
+    return apply.reconciled(current, desired, planned, LINE, order_by=LAST).select(*LINE, *LAST[1:])
+
+
+@query(f"WITH {DES} SELECT * FROM des")
+def apply_written(spark, sf_dir):
+    """Applied to files, which a second plan then finds as they should be."""
+    current, desired = _orders(spark, sf_dir)
+    root = work_folder(spark)
+    apply.apply_plan(current, desired, plan.plan(current, desired, ["k"]), ["k"], root, dry_run=False, approved=True)
+    state = read_version(spark, f"{root}/state")
+    again = apply.apply_plan(state, desired, plan.plan(state, desired, ["k"]), ["k"], root, dry_run=False)
+    return state if again.path is None else state.where("false")
+
+
 @query(f"WITH {DES} SELECT * FROM des")
 def apply_orders(spark, sf_dir):
     current, desired = _orders(spark, sf_dir)
@@ -313,7 +349,10 @@ def customer_summary(spark, sf_dir):
     )
 
 
-HEALTH = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+HEALTH = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+]
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in HEALTH))

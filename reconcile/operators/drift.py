@@ -35,7 +35,8 @@ def column_changes(old: DataFrame, new: DataFrame, keys: list[str], comments: bo
 
     Both hold ``keys, name, data_type`` (and ``comment``), one row per column as
     ``definitions.columns`` returns them. Both sides meet in one exchange on
-    table and column name, so a table with very many columns is spread out.
+    table and column name, so a table with very many columns is spread out. A
+    name that repeats on one side (case aside) is an error.
     """
     fields = ["data_type", *(["comment"] if comments else [])]
 
@@ -43,12 +44,16 @@ def column_changes(old: DataFrame, new: DataFrame, keys: list[str], comments: bo
         return df.select(*keys, F.lower("name").alias("column_name"), F.struct(*fields).alias("__c"), F.lit(is_old).alias("__old"))
 
     both = side(old, True).unionByName(side(new, False))
+    repeated = F.greatest(F.count_if("__old"), F.count_if(~F.col("__old"))) > 1
     matched = both.groupBy(*keys, "column_name").agg(
+        repeated.alias("__repeated"),
         F.max(F.when(F.col("__old"), F.col("__c"))).alias("__was"),
         F.max(F.when(~F.col("__old"), F.col("__c"))).alias("__will"),
     )
     was, will = F.col("__was"), F.col("__will")
-    return matched.withColumn("change_type", _change_type(was, will, comments)).where("change_type is not null").select(
+    twice = F.raise_error(F.concat(F.lit("column occurs more than once: "), F.col("column_name"))).cast("string")
+    kind = F.when(F.col("__repeated"), twice).otherwise(_change_type(was, will, comments))
+    return matched.withColumn("change_type", kind).where("change_type is not null").select(
         *keys, "change_type", "column_name", was["data_type"].alias("old_type"), will["data_type"].alias("new_type")
     )
 
@@ -91,11 +96,11 @@ def _property_changes(old: Column, new: Column, table_properties: bool) -> Colum
     return F.concat(named, F.array_sort(F.array_compact(F.map_values(zipped))))
 
 
-def _side(content: Column, parsed: Column) -> Column:
+def _side(parsed: Column) -> Column:
     return F.struct(
         parsed["columns"].alias("columns"),
-        definitions.location(content).alias("location"),
-        definitions.stored_as(content).alias("format"),
+        parsed["location"].alias("location"),
+        parsed["format"].alias("format"),
         parsed["partitioned_by"].alias("partitions"),
         parsed["table_properties"].alias("table_properties"),
     )
@@ -110,7 +115,17 @@ def property_changes(
     TBLPROPERTIES entry by entry.
     """
     detailed = change_details(pairs, old, new, table_properties=table_properties)
-    return detailed.select(*keys, F.inline("change_details.property_changes"))
+    return property_changes_of(detailed, keys)
+
+
+def column_changes_of(detailed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, change_type, column_name, old_type, new_type``: a row for each column change of ``change_details``."""
+    return definitions.rows_of(detailed, keys, F.col("change_details.column_changes"), "change_type")
+
+
+def property_changes_of(detailed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, property_name, old_value, new_value``: a row for each property change of ``change_details``."""
+    return definitions.rows_of(detailed, keys, F.col("change_details.property_changes"), "property_name")
 
 
 def change_details(
@@ -130,7 +145,7 @@ def change_details(
         }
     )
     sides = parsed.withColumns(
-        {"__was": _side(F.col(old), F.col("__was")), "__will": _side(F.col(new), F.col("__will"))}
+        {"__was": _side(F.col("__was")), "__will": _side(F.col("__will"))}
     )
     was, will = F.col("__was"), F.col("__will")
     details = F.struct(

@@ -60,9 +60,10 @@ def matches(value: Column, pattern: str) -> tuple[list[Column], list[Column]]:
 
 
 def target_predicate(targets: Iterable[str], database: Column, table: Column) -> Column:
-    """True where any pattern matches; no patterns means everything, only malformed ones nothing.
+    """True where any pattern matches, else false; no patterns means everything, only malformed ones nothing.
 
-    Plain names are gathered into IN lists. Prefixes, suffixes and inner pieces
+    Never null, however many patterns there are: a null name matches a pattern
+    whose half is a lone star and nothing else. Plain names are gathered into IN lists. Prefixes, suffixes and inner pieces
     reach the scan: where a pattern also needs a regular expression, which no
     scan can use, the weaker condition stands beside it in the conjunction.
     """
@@ -93,18 +94,15 @@ def target_predicate(targets: Iterable[str], database: Column, table: Column) ->
         hints = [(matches(database, db)[0] or matches(table, tb)[0] or [F.lit(True)])[0] for db, tb in others]
         return _any(plain + hints) & F.coalesce(_any(plain + _alternatives(others, database, table)), F.lit(False))
     pushed, exact = list(plain), list(plain)
-    needs_both = False
     for db, tb in others:
         (db_pushed, db_exact), (tb_pushed, tb_exact) = matches(database, db), matches(table, tb)
         pushed.append(_all(db_pushed + tb_pushed))
         exact.append(_all(db_exact + tb_exact))
-        # Suffix, prefix and inner piece together are not the whole pattern.
-        needs_both |= len(db_exact) > len(db_pushed) + 1 or len(tb_exact) > len(tb_pushed) + 1
     if not exact:
         return F.lit(False)
     # coalesce keeps the optimizer from factoring out what both parts share,
     # which would leave one disjunction again that no scan can use.
-    return _any(pushed) & F.coalesce(_any(exact), F.lit(False)) if needs_both else _any(exact)
+    return _any(pushed) & F.coalesce(_any(exact), F.lit(False))
 
 
 MANY = 16  # wildcard patterns that still make an expression of their own each
@@ -131,22 +129,14 @@ def _alternatives(patterns: list[tuple[str, str]], database: Column, table: Colu
     ]
 
 
-def target_semi_join(
-    df: DataFrame, patterns: DataFrame, database: str, table: str, pattern: str = "pattern", max_inline: int = 200
-) -> DataFrame:
-    """Rows of ``df`` whose (database, table) matches any pattern of a pattern table.
+def target_semi_join(df: DataFrame, patterns: DataFrame, database: str, table: str, pattern: str = "pattern") -> DataFrame:
+    """Rows of ``df`` whose (database, table) matches any pattern of a pattern table, as ``target_predicate`` has it.
 
-    Up to ``max_inline`` patterns, counted first, become one pushed-down
-    predicate. A larger table is joined, and never broadcast by us: plain names
-    by equality, wildcards by a short piece of text that pattern and name share.
-    Unlike an empty list of targets, an empty table matches nothing.
+    Whatever its size, the table is joined, and never broadcast by us: plain
+    names by equality, wildcards by a short piece of text that pattern and name
+    share. Unlike an empty list of targets, an empty table matches nothing.
     """
     known = patterns.select(F.col(pattern).alias("p")).where("p is not null").distinct()
-    head = [r.p for r in known.limit(max_inline + 1).collect()]
-    if not head:
-        return df.where(F.lit(False))
-    if len(head) <= max_inline:
-        return df.where(target_predicate(head, F.col(database), F.col(table)))
     return _joined(df, known, database, table)
 
 
@@ -171,13 +161,17 @@ def _joined(df: DataFrame, known: DataFrame, database: str, table: str) -> DataF
         names.join(by_table, (F.col("t") == F.col("pt")) & _like("d", "pd"), "left_semi"),
         _by_piece(names, by_piece),
     ]
-    # Two stars or more mean the same as two, so at most four rows come back here.
+    # Two stars or more mean the same as two, so there are at most four such patterns. A
+    # lone star is met by every name, more by those that are known and have no newline.
     halves = [F.when(F.col(p) == "*", "*").otherwise("**").alias(p) for p in ("pd", "pt")]
-    stars = [f"{r.pd}.{r.pt}" for r in wanted.where(only_stars).select(*halves).distinct().collect()]
-    if stars:
-        found.append(names.where(target_predicate(stars, F.col("d"), F.col("t"))))
+    stars = wanted.where(only_stars).select(*halves).distinct()
+    whole = {v: F.coalesce(~F.contains(v, F.lit("\n")), F.lit(False)) for v in ("d", "t")}
+    offers = [F.struct(F.lit(a).alias("pd"), F.lit(b).alias("pt")) for a in ("*", "**") for b in ("*", "**")]
+    met = F.filter(F.array(*offers), lambda o: ((o["pd"] == "*") | whole["d"]) & ((o["pt"] == "*") | whole["t"]))
+    offered = names.select("d", "t", F.explode(met).alias("o")).select("d", "t", "o.pd", "o.pt")
+    found.append(offered.join(stars, ["pd", "pt"], "left_semi").select("d", "t"))
     hits = functools.reduce(DataFrame.unionByName, found).distinct().toDF("__d", "__t")
-    return df.join(hits, (d == F.col("__d")) & (t == F.col("__t")), "left_semi")
+    return df.join(hits, d.eqNullSafe(F.col("__d")) & t.eqNullSafe(F.col("__t")), "left_semi")
 
 
 def _like(value: str, pattern: str) -> Column:

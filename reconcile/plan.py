@@ -12,7 +12,6 @@ from reconcile.plans.results import (
     marker,
     report,
     summarize,
-    to_json_document,
     to_json_rows,
 )
 
@@ -33,7 +32,6 @@ __all__ = [
     "report",
     "scoped",
     "summarize",
-    "to_json_document",
     "to_json_rows",
     "unreadable",
     "updates",

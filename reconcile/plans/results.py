@@ -136,34 +136,5 @@ def json_document_lines(plan: DataFrame, keys: list[str]) -> DataFrame:
     return lines.orderBy("part", "rank", *keys).select("line")
 
 
-def to_json_document(plan: DataFrame, keys: list[str], max_rows: int = 10_000) -> DataFrame:
-    """The whole plan as one JSON document in one row.
-
-    A single row cannot grow with the data: beyond ``max_rows`` this is an error
-    and ``json_document_lines`` is the way. At most one row more is gathered.
-    """
-    op = F.col("operation")
-    entry = F.struct(rank(op).alias("rank"), *keys, F.struct(*plan.columns).alias("row"))
-    listed = plan.limit(max_rows + 1).agg(F.collect_list(entry).alias("entries"))
-    rows = F.transform(F.array_sort("entries"), lambda e: e["row"])
-    summary = summarize(plan).select("no_change", F.struct("to_add", "to_change", "to_destroy").alias("summary"))
-    document = listed.select(
-        F.when(
-            F.size("entries") > max_rows,
-            F.raise_error(F.lit(f"more than {max_rows} rows: use json_document_lines")).cast("string"),
-        ).otherwise(
-            F.to_json(
-                F.struct(
-                    summary.select("no_change").scalar().alias("no_change"),
-                    summary.select("summary").scalar().alias("summary"),
-                    rows.alias("table_diffs"),
-                ),
-                {"ignoreNullFields": "false"},
-            )
-        ).alias("json")
-    )
-    return document
-
-
 def _json(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

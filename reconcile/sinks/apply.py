@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from reconcile.plans.plan import CREATE, DELETE, UPDATE
+from reconcile.plans.plan import CREATE, DELETE, UPDATE, last_rows
 from reconcile.plans.results import summarize
 from reconcile.sources.versions import read_version, write_version
 
@@ -16,9 +16,14 @@ class Applied(NamedTuple):
     path: str | None  # the new version, None if nothing was written
 
 
-def reconciled(current: DataFrame, desired: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+def reconciled(
+    current: DataFrame, desired: DataFrame, plan: DataFrame, keys: list[str], order_by: list[str] | None = None
+) -> DataFrame:
     """``current`` with the plan carried out: rows deleted, replaced whole, and created.
 
+    A plan made with ``duplicates="last"`` needs its ``order_by`` here too: of a key
+    that repeats in ``desired`` only the last row is put in. A null key on either side is an error.
+
     Only keys of the plan take part in the joins. A plan read from files has a
     known size; Spark broadcasts it when it is small, and neither table moves.
     Rows of ``current`` that the plan does not name stay as they are.
@@ -27,8 +32,16 @@ def reconciled(current: DataFrame, desired: DataFrame, plan: DataFrame, keys: li
     def of(*operations: str) -> DataFrame:
         return plan.where(F.col("operation").isin(*operations)).select(*keys)
 
-    kept = current.join(of(DELETE, UPDATE), keys, "left_anti")
-    added = desired.join(of(CREATE, UPDATE), keys, "left_semi")
+    def known(df: DataFrame) -> DataFrame:
+        # Within the value that the join reads, so that no filter on the key can go before it.
+        lacking = F.raise_error(F.lit(f"null in key: {', '.join(keys)}"))
+        checked = {k: F.when(F.col(k).isNull(), lacking.cast(df.schema[k].dataType)).otherwise(F.col(k)) for k in keys}
+        return df.withColumns(checked)
+
+    kept = known(current).join(of(DELETE, UPDATE), keys, "left_anti")
+    added = known(desired).join(of(CREATE, UPDATE), keys, "left_semi")
+    if order_by:
+        added = last_rows(added, keys, order_by)
     return kept.select(*current.columns).unionByName(added.select(*current.columns))
 
 
@@ -42,6 +55,7 @@ def apply_plan(
     approved: bool = False,
     max_deletes: int | None = None,
     partition_by: list[str] | None = None,
+    order_by: list[str] | None = None,
 ) -> Applied:
     """Write the reconciled table as the next version below ``<root>/state``.
 
@@ -63,4 +77,4 @@ def apply_plan(
         raise PermissionError(f"{summary.total_changes} changes are not approved")
     if max_deletes is not None and summary.to_destroy > max_deletes:
         raise PermissionError(f"{summary.to_destroy} deletions, {max_deletes} allowed")
-    return Applied(staged, write_version(reconciled(current, desired, staged, keys), f"{root}/state", partition_by))
+    return Applied(staged, write_version(reconciled(current, desired, staged, keys, order_by), f"{root}/state", partition_by))

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reconcile.plans.plan import Where, scoped
-from reconcile.sources.versions import latest_version, read_version, write_version
+from reconcile.sources.versions import append_version, latest_version, read_version, write_version
 
 # What becomes of a key.
 EXPORTED, SKIPPED, ERROR = "exported", "skipped", "error"
 
 
+def _usable(df: DataFrame, keys: list[str]) -> Column:
+    """No key column is null or empty: neither could name a file or come back as it was."""
+    usable = F.lit(True)
+    for key in keys:
+        usable &= F.coalesce(F.col(key).cast("string") != "", F.lit(False))
+    return usable
+
+
 def plan_export(
     snapshot: DataFrame,
     existing: DataFrame | None,
@@ -25,16 +33,23 @@ def plan_export(
     """``keys, status`` of every key in scope.
 
     ``skipped`` if the destination has the key and is not to be overwritten, else
-    ``error`` if there is no value, else ``exported``. Values stay where they
-    are: the join moves keys and one flag.
+    ``error`` if there is no value or a part of the key is null or empty, else
+    ``exported``. A key that repeats is an error raised by any action that reads
+    ``status``. Values stay where they are: the join moves keys and one flag.
     """
-    rows = scoped(snapshot, keys, targets, where).select(*keys, F.col(value).isNotNull().alias("__known"))
-    status = F.when(F.col("__known"), EXPORTED).otherwise(ERROR)
+    known = F.col(value).isNotNull() & _usable(snapshot, keys)
+    # Keys that can't be told apart are one error each time they occur.
+    nth = F.when(~_usable(snapshot, keys), F.monotonically_increasing_id())
+    rows = scoped(snapshot, keys, targets, where).select(*keys, known.alias("__known"), nth.alias("__nth"))
+    rows = rows.groupBy(*keys, "__nth").agg(F.count("*").alias("__n"), F.max("__known").alias("__known"))
+    named = F.concat_ws(".", *[F.col(k).cast("string") for k in keys])
+    repeated = F.raise_error(F.concat(F.lit("key occurs more than once: "), named)).cast("string")
+    status = F.when(F.col("__n") > 1, repeated).when(F.col("__known"), EXPORTED).otherwise(ERROR)
     if existing is None or overwrite:
         return rows.select(*keys, status.alias("status"))
     there = scoped(existing, keys, targets, where).select(*keys).distinct().withColumn("__there", F.lit(True))
     return rows.join(there, keys, "left").select(
-        *keys, F.when(F.col("__there"), SKIPPED).otherwise(status).alias("status")
+        *keys, F.when(F.col("__n") > 1, repeated).when(F.col("__there"), SKIPPED).otherwise(status).alias("status")
     )
 
 
@@ -45,7 +60,7 @@ def export_totals(status: DataFrame) -> DataFrame:
 
 def exported_rows(snapshot: DataFrame, existing: DataFrame | None, keys: list[str], value: str, overwrite: bool = False) -> DataFrame:
     """The rows of the snapshot that an export writes."""
-    rows = snapshot.where(F.col(value).isNotNull())
+    rows = snapshot.where(F.col(value).isNotNull() & _usable(snapshot, keys))
     if existing is None or overwrite:
         return rows
     return rows.join(existing.select(*keys).distinct(), keys, "left_anti").select(*snapshot.columns)
@@ -62,8 +77,9 @@ def write_export(
 ) -> dict[str, int]:
     """Export to ``root``, one directory per container, and return the number of keys by status.
 
-    New keys are appended to the latest version. Overwriting writes a new
-    version: the snapshot's rows and, of the old version, those of other keys.
+    New keys are added to the latest version, all at once when their job commits.
+    Overwriting writes a new version: the snapshot's rows and, of the old
+    version, those of other keys.
     Exporting again after a failure skips what is already there.
     """
     spark = snapshot.sparkSession
@@ -79,7 +95,5 @@ def write_export(
         others = existing.join(rows.select(*keys), keys, "left_anti").select(*snapshot.columns)
         write_version(others.unionByName(rows), root, container)
     elif totals.get(EXPORTED):
-        path = f"{root}/version={latest_version(spark, root)}"
-        ready = rows.hint("rebalance", *container) if container else rows
-        ready.write.mode("append").parquet(path, partitionBy=container)
+        append_version(rows, root, latest_version(spark, root), container)
     return totals

@@ -11,9 +11,10 @@ def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """``(definitions, errors)`` of the ``.sql`` files exactly two levels below ``base``.
 
     A base that is missing or no directory is an error. Files at other depths
-    and with other extensions are left out; empty files are kept. One gap is
-    Spark's own: its listing hides names that start with ``_``. A corpus that
-    has such tables should come as a table of files, see ``parse_corpus``.
+    and with other extensions are left out; empty files are kept. Spark's reader
+    cannot open files whose names start with ``_`` or a dot: they come as errors,
+    so that ``with_unreadable`` keeps their keys out of a plan; ``parse_corpus``
+    takes them from a table of files. Hidden directories are read.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -22,11 +23,18 @@ def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     if not fs.getFileStatus(path).isDirectory():
         raise NotADirectoryError(f"path is not a directory: {base}")
     root = fs.makeQualified(path).toString().rstrip("/")
+    # Directories that are named are read even if their names are hidden; below them names are not.
+    inside = spark._jvm.org.apache.hadoop.fs.Path(path, "*")
+    hidden = [
+        status.getPath().toString()
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*/[_.]*.sql")) or []
+        if status.isFile()
+    ]
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.sql")
-        .load(base)
+        .load(inside.toString() if fs.globStatus(inside) else base)
         .select("path", "content")
     )
     # The reader gives no row for a file of length zero. Such files are those
@@ -38,7 +46,11 @@ def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     # As URLs: escaped, and with three slashes where there is no host.
     path = F.regexp_replace(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))), r"\A([^:/]+):///", "$1:/")
     empty = listed.select(path.alias("path")).join(files.select("path"), "path", "left_anti")
-    return parse_corpus(files.unionByName(empty.withColumn("content", F.lit(b""))), root)
+    definitions, errors = parse_corpus(files.unionByName(empty.withColumn("content", F.lit(b""))), root)
+    unopened = spark.createDataFrame([(p,) for p in hidden], "source string")
+    # The listing of dots: Spark's glob takes them up, the reader does not.
+    lost = unopened.select("source", F.when(key_from_path(F.col("source")).isNull(), "invalid identifier").otherwise("hidden name").alias("reason"))
+    return definitions.join(unopened, "source", "left_anti"), errors.join(unopened, "source", "left_anti").unionByName(lost)
 
 
 def parse_corpus(files: DataFrame, base: str = "") -> tuple[DataFrame, DataFrame]:

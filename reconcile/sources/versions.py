@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def _versions(spark: SparkSession, pattern: str) -> list[int]:
+def _versions(spark: SparkSession, pattern: str, part: str = "version") -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return [int(re.search(r"version=(\d+)", f.getPath().toString()[-40:])[1]) for f in found]
+    return [int(re.search(rf"{part}=(\d+)", f.getPath().toString()[-60:])[1]) for f in found]
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
@@ -29,8 +29,24 @@ def read_version(
     database called ``007`` would come back as a number.
     """
     version = latest_version(spark, root) if version is None else version
+    if version is None:
+        return None
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return None if version is None else reader.parquet(f"{root}/version={version}")
+    df = reader.parquet(f"{root}/version={version}")
+    more = f"{root}/added-to={version}"
+    for number in sorted(_versions(spark, f"{more}/part=*/_SUCCESS", "part")):
+        df = df.unionByName(reader.parquet(f"{more}/part={number}"))
+    return df
+
+
+def append_version(df: DataFrame, root: str, version: int, partition_by: list[str] | None = None) -> str:
+    """Add ``df`` to a version and return the path: a directory beside it, which counts once its own job has committed."""
+    more = f"{root}/added-to={version}"
+    path = f"{more}/part={max(_versions(df.sparkSession, f'{more}/part=*', 'part'), default=-1) + 1}"
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    df.write.mode("error").parquet(path, partitionBy=partition_by)
+    return path
 
 
 def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:

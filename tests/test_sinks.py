@@ -103,3 +103,40 @@ def test_formats(spark, sides, tmp_path):
             side.write.format(kind).save(str(tmp_path / kind / name))
         read = [spark.read.format(kind).load(str(tmp_path / kind / name)) for name in ("current", "desired")]
         assert plan.plan(*read, KEYS).count() == 4
+
+
+def test_apply_takes_the_last_row_of_a_key(spark):
+    schema = "k string, v string, n int"
+    current = spark.createDataFrame([("a", "x", 1), ("b", "x", 1)], schema)
+    desired = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", "x", 1)], schema)
+    planned = plan.plan(current, desired, ["k"], duplicates="last", order_by=["n"])
+    new = apply.reconciled(current, desired, planned, ["k"], order_by=["n"])
+    assert {tuple(r) for r in new.collect()} == {("a", "new", 2), ("b", "x", 1)}
+    assert plan.plan(new, desired, ["k"], duplicates="last", order_by=["n"]).count() == 0
+
+
+def test_apply_refuses_null_keys(spark):
+    current = spark.createDataFrame([("a", "x")], "k string, v string")
+    desired = spark.createDataFrame([("a", "x"), (None, "y"), ("c", "z")], "k string, v string")
+    planned = plan.plan(current, desired.where("k is not null"), ["k"])
+    with pytest.raises(Exception, match="null in key"):
+        apply.reconciled(current, desired, planned, ["k"]).collect()
+
+
+def test_export_refuses_keys_that_name_nothing(spark, tmp_path):
+    snapshot = spark.createDataFrame([("s", "a", "1"), ("", "b", "1"), (None, "c", "1"), (None, "c", "1")], SCHEMA)
+    for expected in ({"exported": 1, "error": 3}, {"skipped": 1, "error": 3}):
+        assert export.write_export(snapshot, str(tmp_path), KEYS, "content") == expected
+    assert rows(sources.read_version(spark, str(tmp_path))) == {("s", "a", "1")}
+    with pytest.raises(Exception, match="more than once"):
+        export.write_export(snapshot.unionByName(snapshot), str(tmp_path), KEYS, "content")
+
+
+def test_what_is_added_counts_when_committed(spark, tmp_path):
+    root = str(tmp_path)
+    export.write_export(spark.createDataFrame([("s", "a", "1")], SCHEMA), root, KEYS, "content")
+    export.write_export(spark.createDataFrame([("s", "b", "1")], SCHEMA), root, KEYS, "content")
+    added = tmp_path / "added-to=0" / "part=0"
+    assert rows(sources.read_version(spark, root)) == {("s", "a", "1"), ("s", "b", "1")}
+    (added / "_SUCCESS").unlink()
+    assert rows(sources.read_version(spark, root)) == {("s", "a", "1")}

@@ -23,6 +23,9 @@ def corpus(tmp_path):
         "salesdb/deep/t.sql": b"x",
         "salesdb/notes.txt": b"x",
         "salesdb/UPPER.SQL": b"x",
+        "salesdb/_hidden.sql": b"x",
+        "salesdb/.dotted.sql": b"x",
+        "_db/t.sql": b"x",
     }
     for name, content in files.items():
         path = tmp_path / name
@@ -39,18 +42,19 @@ def test_read_corpus(spark, corpus):
     assert found == {
         ("salesdb", "customers"): "CREATE TABLE customers (id int)\n", ("salesdb", "orders"): "-- é\nCREATE",
         ("marketingdb", "customers"): "CREATE", ("linked", "customers"): "CREATE", ("my-database", "my-table"): "x",
-        ("my-database", "t" * 200): "x", ("salesdb", "empty"): "",
+        ("my-database", "t" * 200): "x", ("salesdb", "empty"): "", ("_db", "t"): "x",
     }
     reasons = {r.source.rsplit("/", 2)[-2] + "/" + r.source.rsplit("/", 1)[-1]: r.reason for r in errors.collect()}
     assert reasons == {
         "salesdb/broken.sql": "invalid UTF-8", "salesdb/bad name.sql": "invalid identifier", "sales db/t.sql": "invalid identifier",
         "salesdb/a.b.sql": "invalid identifier", "salesdb/empty+x y%2B.sql": "invalid identifier",
+        "salesdb/.dotted.sql": "invalid identifier", "salesdb/_hidden.sql": "hidden name",
     }
 
 
 def test_unreadable_files_keep_their_key(spark, corpus):
     found = sources.with_unreadable(*sources.read_corpus(spark, str(corpus))).where("content is null").collect()
-    assert [(r.database_name, r.table_name) for r in found] == [("salesdb", "broken")]
+    assert [(r.database_name, r.table_name) for r in found] == [("salesdb", "broken"), ("salesdb", "_hidden")]
 
 
 def test_base_must_be_a_directory(spark, tmp_path):
