@@ -153,8 +153,9 @@ def nearest_neighbours(
     queries = usable.where("asks").select("vec_id", "vector").distinct().select("vec_id", "vector", F.explode(probed("vector")).alias("bucket"))
     # Buckets above CHUNK vectors are dealt over several groups, and each probe goes to all of them.
     sizes = index.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = index.join(sizes, "bucket").withColumn("chunk", F.expr("cast(pmod(xxhash64(vec_id), chunks) as int)"))
-    asked = queries.join(sizes, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = index.hint("merge").join(sizes, "bucket").withColumn("chunk", F.expr("cast(pmod(xxhash64(vec_id), chunks) as int)"))
+    # Never a broadcast of the probes: as one vector stands in many rows they look small when compressed.
+    asked = queries.hint("merge").join(sizes, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     both = dealt.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)))
     both = both.select("bucket", "chunk", "kind", "vec_id", "vector").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "kind")
     found = both.mapInArrow(_search(nearest), "query_id long, vec_id long, score double").distinct()
