@@ -21,6 +21,8 @@ SHINGLE, LEAST = 9, 0.8
 BANDS, ROWS = 8, 3
 #: Lines of a page, when those of a band that its leader doesn't join meet the others.
 PAGE = 32
+#: Longs of a line's outline, a power of two.
+WORDS = 8
 
 
 def shingle_set(units: Column, size: int = SHINGLE) -> Column:
@@ -32,6 +34,31 @@ def shingle_set(units: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(units, 2 * i - 1, F.lit(2 * size)))))
 
 
+def sets_of(*lines: str | Column) -> Column:
+    """An array of the shingle sets of these lines."""
+    return F.transform(F.array(*(F.struct(F.encode(line, "UTF-16BE").alias("units")) for line in lines)), lambda x: shingle_set(x["units"]))
+
+
+def outline(shingles: Column) -> Column:
+    """n (size of the set), w0, w1, ...: a bitmap of 64 * WORDS places, in which each shingle sets one."""
+
+    def word(k: int) -> Column:
+        def step(bits: Column, h: Column) -> Column:
+            place = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)) == k, bits.bitwiseOR(place)).otherwise(bits)
+
+        return F.aggregate(shingles, F.lit(0).cast("long"), step)
+
+    return F.struct(F.size(shingles).alias("n"), *(word(k).alias(f"w{k}") for k in range(WORDS)))
+
+
+def may_link(a: Column, b: Column, least: float = LEAST) -> Column:
+    """Whether outlines leave a link possible: places that differ are at most the shingles that do, and a link
+    has at most (1 - least) / (1 + least) of both sizes of these."""
+    differ = sum((F.bit_count(a[f"w{k}"].bitwiseXOR(b[f"w{k}"])) for k in range(1, WORDS)), F.bit_count(a["w0"].bitwiseXOR(b["w0"])))
+    return differ * (1 + least) <= (1 - least) * (a["n"] + b["n"]) + 1e-9
+
+
 def similar(a: Column, b: Column, least: float = LEAST) -> Column:
     """Whether the Jaccard similarity of two sets is at least that: shared >= least * (a + b - shared)."""
     return F.size(F.array_intersect(a, b)) * (1 + least) >= least * (F.size(a) + F.size(b)) - 1e-9
@@ -64,14 +91,13 @@ def line_components(lines: DataFrame, least: float = LEAST) -> DataFrame:
     order = Window.partitionBy("band").orderBy(F.col("n").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     led = cut(members.withColumn("leader", F.first("id").over(order)).where("id <> leader").select("band", "id", "leader"))
     wanted = led.select("id").unionByName(led.select(F.col("leader").alias("id"))).distinct()
-    texts = cut(lines.join(few(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+    texts = lines.join(few(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = cut(texts.select("id", "line", F.transform(sets_of("line"), outline)[0].alias("outline")))
 
     pairs = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    units = F.array(*(F.struct(F.encode(line, "UTF-16BE").alias("units")) for line in ("line_a", "line_b")))
-    both = F.transform(units, lambda x: shingle_set(x["units"]))
-    alike = F.exists(F.array(both), lambda two: similar(two[0], two[1], least))
+    alike = F.exists(F.array(sets_of("line_a", "line_b")), lambda two: similar(two[0], two[1], least))
     links = cut(pairs.where(alike).select("a", "b"))
     found = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("root"))
 
@@ -86,23 +112,19 @@ def line_components(lines: DataFrame, least: float = LEAST) -> DataFrame:
     members = placed.join(split, "band", "left_semi").join(texts, "id")
     in_band = Window.partitionBy("band", "apart").orderBy("id")
     members = members.withColumn("page", F.floor((F.row_number().over(in_band) - 1) / PAGE))
-    pages = members.groupBy("band", "apart", "page").agg(F.collect_list(F.struct("id", "root", "line")).alias("page_lines"))
+    pages = members.groupBy("band", "apart", "page").agg(F.collect_list(F.struct("id", "root", "line", "outline")).alias("page_lines"))
     left = pages.where("apart").select("band", F.col("page").alias("at"), F.col("page_lines").alias("left"))
     right = pages.select("band", "apart", "page", F.col("page_lines").alias("right"))
     met = left.join(right, "band").where("NOT apart OR page >= at")
 
-    def sets(lines: str) -> Column:
-        units = F.transform(lines, lambda x: F.struct(x["id"].alias("id"), x["root"].alias("root"), F.encode(x["line"], "UTF-16BE").alias("units")))
-        return F.transform(units, lambda x: F.struct(x["id"].alias("id"), x["root"].alias("root"), shingle_set(x["units"]).alias("set")))
-
-    def partners(x: Column, others: Column) -> Column:
-        linked = F.filter(others, lambda y: (y["root"] != x["root"]) & similar(x["set"], y["set"], least))
-        return F.transform(linked, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+    def near(x: Column) -> Column:
+        others = F.filter("right", lambda y: (y["root"] != x["root"]) & may_link(x["outline"], y["outline"], least))
+        return F.struct(x["id"].alias("a"), x["line"].alias("line"), others.alias("others"))
 
-    # One struct of both pages' sets, so that each set is made once.
-    both = F.array(F.struct(sets("left").alias("left"), sets("right").alias("right")))
-    found = F.transform(both, lambda two: F.flatten(F.transform(two["left"], lambda x: partners(x, two["right"]))))
-    more = met.select(F.explode(F.flatten(found)).alias("link")).select("link.a", "link.b")
+    hits = F.filter(F.transform("left", near), lambda x: F.size(x["others"]) > 0)
+    hits = met.select(F.explode(hits).alias("hit")).select("hit.*")
+    linked = F.transform(sets_of("line"), lambda a: F.filter("others", lambda y: F.exists(sets_of(y["line"]), lambda b: similar(a, b, least))))
+    more = hits.select("a", F.explode(F.transform(F.flatten(linked), lambda y: y["id"])).alias("b"))
     return connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
 
 
