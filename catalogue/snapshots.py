@@ -215,12 +215,12 @@ def plan_operations(spark, sf_dir):
 
 
 @query(f"""{NAMED}, s AS (SELECT 'Plan: ' || count(*) FILTER (operation = 'Create') || ' to add, ' ||
-    count(*) FILTER (operation = 'Update') || ' to change, ' || count(*) FILTER (operation = 'Delete') || ' to destroy.' AS message FROM changed)
+    count(*) FILTER (operation = 'Update') || ' to change, ' || count(*) FILTER (operation = 'Delete') || ' to remove.' AS message FROM changed)
 SELECT 0 AS section, 0 AS rank, '' AS name, '' AS marker, message, '' AS text_diff FROM s
-UNION ALL SELECT DISTINCT 1, 0, database_name, '+', 'Will create database if it does not exist', '' FROM changed WHERE operation = 'Create'
+UNION ALL SELECT DISTINCT 1, 0, database_name, '+', 'new container, made unless it is there', '' FROM changed WHERE operation = 'Create'
 UNION ALL SELECT 2, CASE operation WHEN 'Create' THEN 0 WHEN 'Delete' THEN 1 ELSE 2 END, database_name || '.' || table_name,
   CASE operation WHEN 'Create' THEN '+' WHEN 'Delete' THEN '-' ELSE '~' END,
-  CASE operation WHEN 'Create' THEN 'Will create table' WHEN 'Delete' THEN 'Will destroy table' ELSE 'Will update table' END, '' FROM changed
+  CASE operation WHEN 'Create' THEN 'is new and will be added' WHEN 'Delete' THEN 'is not wanted and will be removed' ELSE 'differs and will be changed' END, '' FROM changed
 ORDER BY 1, 2, 3""")
 def plan_report(spark, sf_dir):
     return results.report(_named_plan(spark, sf_dir, details=False), NAMES).na.fill("")

@@ -10,12 +10,12 @@ from reconcile.plans.plan import CREATE, DELETE, NO_CHANGE, UPDATE
 
 # How each operation is shown, in the order of the report.
 SHOWN = [
-    (CREATE, 0, "+", "create", "Will create table"),
-    (DELETE, 1, "-", "delete", "Will destroy table"),
-    (UPDATE, 2, "~", "update", "Will update table"),
-    (NO_CHANGE, 3, " ", "no change", "No changes"),
+    (CREATE, 0, "+", "create", "is new and will be added"),
+    (DELETE, 1, "-", "delete", "is not wanted and will be removed"),
+    (UPDATE, 2, "~", "update", "differs and will be changed"),
+    (NO_CHANGE, 3, " ", "no change", "is as wanted"),
 ]
-NOTHING_TO_DO = "No changes. Your infrastructure matches the configuration."
+NOTHING_TO_DO = "Both snapshots agree: nothing is to be done."
 
 
 def _shown(operation: Column, field: int) -> Column:
@@ -74,7 +74,7 @@ def report(plan: DataFrame, keys: list[str], show_unchanged: bool = False) -> Da
     counted = summarize(plan)
     head = F.concat(
         F.lit("Plan: "), F.col("to_add"), F.lit(" to add, "), F.col("to_change"), F.lit(" to change, "),
-        F.col("to_destroy"), F.lit(" to destroy."), F.when(F.col("no_change"), f"\n\n{NOTHING_TO_DO}").otherwise(""),
+        F.col("to_destroy"), F.lit(" to remove."), F.when(F.col("no_change"), f"\n\n{NOTHING_TO_DO}").otherwise(""),
     )
     summary = counted.select(
         F.lit(0).alias("section"), F.lit(0).alias("rank"), empty.alias("name"), empty.alias("marker"),
@@ -83,7 +83,7 @@ def report(plan: DataFrame, keys: list[str], show_unchanged: bool = False) -> Da
     container = F.col(keys[0]).cast("string")
     notices = plan.where(F.col("operation") == CREATE).select(container.alias("name")).distinct().select(
         F.lit(1).alias("section"), F.lit(0).alias("rank"), "name", F.lit("+").alias("marker"),
-        F.lit("Will create database if it does not exist").alias("message"), empty.alias("text_diff"),
+        F.lit("new container, made unless it is there").alias("message"), empty.alias("text_diff"),
     )
     op = F.col("operation")
     shown = plan if show_unchanged else plan.where(is_change(op))

@@ -36,10 +36,10 @@ def test_containers_and_names(planned):
 def test_report(planned):
     found = [tuple(r)[2:5] for r in results.report(planned, KEYS, show_unchanged=True).collect()]
     assert found == [
-        (None, None, "Plan: 2 to add, 1 to change, 1 to destroy."),
-        ("adb", "+", "Will create database if it does not exist"), ("salesdb", "+", "Will create database if it does not exist"),
-        ("adb.c", "+", "Will create table"), ("salesdb.b", "+", "Will create table"), ("salesdb.gone", "-", "Will destroy table"),
-        ("salesdb.z", "~", "Will update table"), ("salesdb.same", " ", "No changes"),
+        (None, None, "Plan: 2 to add, 1 to change, 1 to remove."),
+        ("adb", "+", "new container, made unless it is there"), ("salesdb", "+", "new container, made unless it is there"),
+        ("adb.c", "+", "is new and will be added"), ("salesdb.b", "+", "is new and will be added"), ("salesdb.gone", "-", "is not wanted and will be removed"),
+        ("salesdb.z", "~", "differs and will be changed"), ("salesdb.same", " ", "is as wanted"),
     ]
     assert results.report(planned, KEYS).count() == 7
     nothing = results.report(planned.where("false"), KEYS).collect()
