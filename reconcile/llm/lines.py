@@ -1,40 +1,148 @@
-"""Fuzzy line dedup by MinHash. DataFrame functions only.
+"""Fuzzy line dedup by MinHash.
 
-Equal lines are folded first. Of each distinct line all character shingles are
-hashed once; the least hash after XOR with each of ``HASHES`` constants is its
-signature. Bands of the signature are joined; every line of a band is compared
-exactly, by the Jaccard similarity of the shingle sets, with lines of the same band, and
-linked lines form components, of which one line stays.
+Equal lines are one. Of each line all character shingles are hashed once; the
+least hash after XOR with each of ``BANDS * ROWS`` constants is its signature.
+Lines with an equal band of the signature are compared exactly, by the Jaccard
+similarity of the shingle sets, unless links connect them already; linked
+lines form components, of which one line stays.
+
+Bands of equal members are one group. A large group is cut into parts, each of which
+meets the group's head; only lines that don't end in the head's component then meet the other parts.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from reconcile.llm.components import connected_components
 from reconcile.llm.storage import cut, few
+from reconcile.llm.tokens import mix, powers_to, slices
 
 #: Characters of a shingle, the similarity of a link; BANDS bands of ROWS minima find 0.8 with a chance of 99.7 %, 0.9 with more than 99.999 %.
 SHINGLE, LEAST = 9, 0.8
 BANDS, ROWS = 8, 3
-#: Lines of a page, when those of a band that its leader doesn't join meet the others.
-PAGE = 32
-
-
-def shingle_set(units: Column, size: int = SHINGLE) -> Column:
-    """Hashes of the distinct runs of ``size`` characters (UTF-16 units, as bytes); of the line itself if it has no more.
-
-    ``units`` must be a value that exists, as it is read for every run.
+#: Lines and characters of a part of a large group.
+PART_LINES, PART_CHARS = 2048, 1_000_000
+#: Bytes of text worked on at a time, and lines that a task remembers in order to sign a copy only once.
+SLICE_BYTES, REMEMBERED = 1 << 17, 200_000
+
+
+def shingles_of(lines: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``size`` code points of each line (of the line itself if it has no more), and where each line's begin."""
+    joined = "\n".join(lines.to_pylist()) + "\n"
+    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(chars == 10)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    powers, inverse = powers_to(len(chars) + 1)
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[: len(chars)], out=sums[1:])
+    counts = np.maximum(ends - starts - size + 1, 1)
+    first = np.cumsum(counts) - counts
+    at = np.repeat(starts - first, counts) + np.arange(counts.sum())
+    until = np.minimum(at + size, np.repeat(ends, counts))
+    return mix((sums[until] - sums[at]) * inverse[at]), first
+
+
+def _bands(seed: int):
+    constants = random.Random(seed)
+    masks = [np.uint64(constants.getrandbits(64)) for _ in range(BANDS * ROWS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for row, name in enumerate(batch.column(0).to_pylist()):
+                if name not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
+                    new.append(row)
+            batch = batch.take(pa.array(new, pa.int64()))
+            for start, end in slices(batch.column(1), SLICE_BYTES):
+                hashes, first = shingles_of(batch.column(1).slice(start, end - start))
+                minima = [np.minimum.reduceat(hashes ^ mask, first) for mask in masks]
+                columns = []
+                for k in range(BANDS):
+                    band = np.full(end - start, k + 1, np.uint64)
+                    for row in minima[k * ROWS : (k + 1) * ROWS]:
+                        band = mix(band + row)
+                    columns.append(pa.array(band.view(np.int64)))
+                chars = pa.array(np.diff(np.append(first, len(hashes))))
+                yield pa.record_batch([batch.column(0).slice(start, end - start), chars, *columns], names=["id", "chars", *(f"b{k}" for k in range(BANDS))])
+
+    return run
+
+
+def linked(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, apart: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): set i is similar to the sets js, which its label and earlier links don't connect to it.
+
+    One of the two must be apart, and they must be of different sides, if there are sides.
     """
-    count = F.greatest(F.floor(F.octet_length(units) / 2) - (size - 1), F.lit(1)).cast("int")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(units, 2 * i - 1, F.lit(2 * size)))))
-
-
-def similar(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Whether the Jaccard similarity of two sets is at least that: shared >= least * (a + b - shared)."""
-    return F.size(F.array_intersect(a, b)) * (1 + least) >= least * (F.size(a) + F.size(b)) - 1e-9
+    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.asarray([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(dense.max() + 1, np.int64)
+    labels = np.unique(labels, return_inverse=True)[1]
+    for i in range(len(sets) - 1):
+        js = slice(i + 1, None)
+        meets = (labels[js] != labels[i]) & (np.minimum(sizes[i], sizes[js]) >= least * np.maximum(sizes[i], sizes[js]) - 1e-9)
+        if sides is not None:
+            meets &= sides[js] != sides[i]
+        if not apart[i]:
+            meets &= apart[js]
+        near = np.flatnonzero(meets) + i + 1
+        if not len(near):
+            continue
+        mine = dense[starts[i] : starts[i] + sizes[i]]
+        mark[mine] = 1
+        lengths = sizes[near]
+        at = np.cumsum(lengths) - lengths
+        shared = np.add.reduceat(mark[dense[np.repeat(starts[near] - at, lengths) + np.arange(lengths.sum())]], at)
+        mark[mine] = 0
+        near = near[shared * (1 + least) >= least * (sizes[i] + lengths) - 1e-9]
+        if len(near):
+            labels[np.isin(labels, labels[near])] = labels[i]
+            yield i, near
+
+
+def _links(least: float):
+    """Links of the lines of each group, from rows (band, low, high, part, id, root, apart, line) sorted by the first three."""
+
+    def pairs(rows: dict) -> Iterator[pa.RecordBatch]:
+        rows = list(rows.values())
+        part, ids, roots, apart, lines = zip(*rows)
+        hashes, first = shingles_of(pa.array(lines, pa.string()))
+        sets = [np.unique(x) for x in np.split(hashes, first[1:])]
+        sides, ids = np.asarray(part), np.asarray(ids, np.int64)
+        found = linked(sets, np.asarray(roots, np.int64), sides if sides.min() != sides.max() else None, np.asarray(apart), least)
+        for i, js in found:
+            yield pa.record_batch([pa.array(np.full(len(js), ids[i])), pa.array(ids[js])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+        for batch in batches:
+            for *key, part, name, root, apart, line in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if key != group:
+                    if len(held) > 1:
+                        yield from pairs(held)
+                    group, held = key, {}
+                held[name] = (part, name, root, apart, line)
+        if len(held) > 1:
+            yield from pairs(held)
+
+    return run
+
+
+def _compared(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """a, b: links among members (band, low, high, part, id, root, apart) of equal band, low and high."""
+    rows = members.join(texts, "id").select("band", "low", "high", "part", "id", "root", "apart", "line")
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return rows.mapInArrow(_links(least), "a long, b long")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -43,67 +151,43 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("id", F.xxhash64("line"))
 
 
-def signatures(lines: DataFrame, seed: int = 3) -> DataFrame:
-    """id, n (times it occurs) and the signature of each distinct line."""
-    constants = random.Random(seed)
-    distinct = lines.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"))
-    units = distinct.select("id", "n", F.encode("line", "UTF-16BE").alias("units"))
-    count = F.greatest(F.floor(F.octet_length("units") / 2) - (SHINGLE - 1), F.lit(1)).cast("int")
-    placed = units.select("id", "n", "units", F.explode(F.sequence(F.lit(1), count)).alias("i"))
-    hashed = placed.select("id", "n", F.xxhash64(F.substring("units", 2 * F.col("i") - 1, F.lit(2 * SHINGLE))).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(constants.getrandbits(64) - (1 << 63)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    return hashed.groupBy("id").agg(F.first("n").alias("n"), *minima)
-
-
-def line_components(lines: DataFrame, least: float = LEAST) -> DataFrame:
-    """id, component of the distinct lines that are similar to another."""
-    signed = signatures(lines)
-    bands = [F.xxhash64(F.lit(k), *(f"m{k * ROWS + r}" for r in range(ROWS))) for k in range(BANDS)]
-    members = signed.select("id", "n", F.explode(F.array(*bands)).alias("band"))
-    # The commonest line of a band leads it; the others hang under it.
-    order = Window.partitionBy("band").orderBy(F.col("n").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = cut(members.withColumn("leader", F.first("id").over(order)).where("id <> leader").select("band", "id", "leader"))
-    wanted = led.select("id").unionByName(led.select(F.col("leader").alias("id"))).distinct()
-    texts = cut(lines.join(few(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-
-    pairs = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    units = F.array(*(F.struct(F.encode(line, "UTF-16BE").alias("units")) for line in ("line_a", "line_b")))
-    both = F.transform(units, lambda x: shingle_set(x["units"]))
-    alike = F.exists(F.array(both), lambda two: similar(two[0], two[1], least))
-    links = cut(pairs.where(alike).select("a", "b"))
-    found = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("root"))
-
-    # Two lines of a band in different components: one at least is not in the leader's, and meets all others.
-    placed = led.unionByName(led.select("band", F.col("leader").alias("id"), "leader").distinct())
-    placed = placed.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = placed.where("id = leader").select("band", F.col("root").alias("head"))
-    placed = cut(placed.join(heads, "band").select("band", "id", "root", F.col("root") != F.col("head")))
-    placed = placed.toDF("band", "id", "root", "apart")
-    # They meet in pages of PAGE lines, so that a band is neither one task's nor paired row by row.
-    split = placed.where("apart").select("band").distinct()
-    members = placed.join(split, "band", "left_semi").join(texts, "id")
-    in_band = Window.partitionBy("band", "apart").orderBy("id")
-    members = members.withColumn("page", F.floor((F.row_number().over(in_band) - 1) / PAGE))
-    pages = members.groupBy("band", "apart", "page").agg(F.collect_list(F.struct("id", "root", "line")).alias("page_lines"))
-    left = pages.where("apart").select("band", F.col("page").alias("at"), F.col("page_lines").alias("left"))
-    right = pages.select("band", "apart", "page", F.col("page_lines").alias("right"))
-    met = left.join(right, "band").where("NOT apart OR page >= at")
-
-    def sets(lines: str) -> Column:
-        units = F.transform(lines, lambda x: F.struct(x["id"].alias("id"), x["root"].alias("root"), F.encode(x["line"], "UTF-16BE").alias("units")))
-        return F.transform(units, lambda x: F.struct(x["id"].alias("id"), x["root"].alias("root"), shingle_set(x["units"]).alias("set")))
-
-    def partners(x: Column, others: Column) -> Column:
-        linked = F.filter(others, lambda y: (y["root"] != x["root"]) & similar(x["set"], y["set"], least))
-        return F.transform(linked, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
-
-    # One struct of both pages' sets, so that each set is made once.
-    both = F.array(F.struct(sets("left").alias("left"), sets("right").alias("right")))
-    found = F.transform(both, lambda two: F.flatten(F.transform(two["left"], lambda x: partners(x, two["right"]))))
-    more = met.select(F.explode(F.flatten(found)).alias("link")).select("link.a", "link.b")
-    return connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
+def line_components(lines: DataFrame, least: float = LEAST, seed: int = 3, part_lines: int = PART_LINES) -> DataFrame:
+    """id, component of the distinct lines (id, line) that are similar to another."""
+    names = [f"b{k}" for k in range(BANDS)]
+    signed = lines.select("id", "line").mapInArrow(_bands(seed), f"id long, chars long, {', '.join(f'{b} long' for b in names)}")
+    signed = cut(signed.groupBy("id").agg(F.first("chars").alias("chars"), *(F.first(b).alias(b) for b in names)))
+    bands = signed.select("id", "chars", F.explode(F.array(*names)).alias("band"))
+    groups = bands.groupBy("band").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("head")
+    ).where("n > 1")
+    groups = groups.groupBy("n", "chars", "members", "head").agg(F.min("band").alias("band"))
+    parts = F.greatest(F.ceil(F.col("n") / part_lines), F.ceil(F.col("chars") / PART_CHARS)).cast("int")
+    groups = cut(groups.select("band", "head", parts.alias("parts")))
+    placed = bands.join(few(groups), "band").select("band", "id", "head", "parts", F.expr("cast(pmod(hash(id), parts) as int)").alias("part"))
+    texts = lines.join(few(placed.select("id").distinct()), "id", "left_semi")
+    texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")))
+
+    # The head of a group in parts meets each of them.
+    heads = groups.where("parts > 1").select("band", F.col("head").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = placed.select("band", "id", "part").unionByName(heads)
+    inside = inside.select("band", F.col("part").alias("low"), F.col("part").alias("high"), "part", "id", F.col("id").alias("root"), F.lit(True).alias("apart"))
+    links = cut(_compared(inside, texts, least))
+    found = connected_components(links)
+    split = placed.where("parts > 1")
+    if groups.where("parts > 1").isEmpty():
+        return found.select(F.col("node").alias("id"), "component")
+
+    # Of two lines of different parts and components one at least is not in the head's: it meets the other parts.
+    roots = found.select(F.col("node").alias("id"), F.col("component").alias("root"))
+    split = split.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tops = split.where("id = head").select("band", F.col("root").alias("top"))
+    split = cut(split.join(tops, "band").withColumn("apart", F.col("root") != F.col("top")))
+    with_apart = split.where("apart").groupBy("band").agg(F.collect_set("part").alias("some"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    meeting = split.join(with_apart, "band").withColumn("other", F.explode(F.when(F.col("apart"), every).otherwise(F.col("some"))))
+    meeting = meeting.where("other <> part").withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    links = links.unionByName(_compared(meeting.select("band", "low", "high", "part", "id", "root", "apart"), texts, least))
+    return connected_components(links).select(F.col("node").alias("id"), "component")
 
 
 def repeated_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -26,7 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the hash's base and of its inverse."""
     global _powers
     if len(_powers[0]) < n:
         n = max(n, SLICE_BYTES)
@@ -58,7 +59,7 @@ class Words:
         ends[:-1] &= ~joins
         self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.begin, offsets)
-        powers, inverse = _powers_to(len(data) + 1)
+        powers, inverse = powers_to(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         letters = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
         np.cumsum(letters * powers[: len(data)], out=sums[1:])

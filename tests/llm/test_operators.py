@@ -139,6 +139,21 @@ def test_lines(spark, rows):
     assert sum((r["text"] or "").count("\n") for r in left.collect()) < sum((r[1] or "").count("\n") for r in rows)
 
 
+def test_lines_in_parts(spark, rows):
+    """Groups cut into parts of two lines give the same components."""
+    found = lines.lines_of(make_docs(spark, rows))
+    whole, parted = (dict(lines.line_components(found, part_lines=n).collect()) for n in (2048, 2))
+    assert whole == parted and len(whole) > 20
+
+
+def test_shingles():
+    texts = ["abc", "abcdefghi", "äbcdefghij𝄞", "abcdefghij" * 9]
+    hashes, first = lines.shingles_of(lines.pa.array(["x", *texts]).slice(1))
+    sets = [set(part) for part in np.split(hashes, first[1:])]
+    assert [len(s) for s in sets] == [1, 1, 3, 10] and sets[1] < sets[3]
+    assert not sets[0] & sets[1]
+
+
 def test_urls(spark):
     hosts = [("http://www.Example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("https://blog.example.com/en/x?q#f", "blog.example.com", "/en/x", "example.com/en/", "block"), ("http://a.net/es/", "a.net", "/es/", "net/es/", "block"), ("http://net/fr/2", "net", "/fr/2", "net/fr/", "block"), ("http://x.com", "x.com", "", None, None), ("http://x.com/", "x.com", "/", "com/", "allow"), (None, "", "", None, None), ("no scheme", "", "", None, None), ("http://?a", "", "", None, None), ("http://xnet/es/1", "xnet", "/es/1", None, None)]
     html = "<title>cheap pills farm</title>"
