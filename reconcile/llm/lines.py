@@ -201,8 +201,9 @@ def repeated_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     lines = lines_of(docs)
     classes = line_components(lines, least)
     placed = lines.select("doc_id", "line_no", "id").join(classes, "id", "left")
-    placed = placed.select("doc_id", "line_no", F.coalesce("component", "id").alias("class"))
-    first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    placed = cut(placed.select("doc_id", "line_no", F.coalesce("component", "id").alias("class")))
+    first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n"))
+    first = cut(first.where("n > 1"))  # reread, so that the join can split a hot class
     gone = placed.join(first, "class").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("kept")))
     return gone.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
 
