@@ -43,8 +43,8 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, salts: int = 32) -> DataFrame:
-    """rows joined to the one row of lookup with an equal key (null equals null).
+def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, salts: int = 32, how: str = "inner") -> DataFrame:
+    """rows joined to the one row of lookup with an equal key (null equals null); ``how="left"`` keeps rows without one.
 
     A key that holds a third of all rows is dealt over ``salts`` parts by
     ``spread``; lookup, one row for each key, is repeated that often.
@@ -53,4 +53,4 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: Column,
     copies = copies.withColumnRenamed(key, "_key").withColumnRenamed("_salt", "_salt_of_copy")
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     matched = (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_salt") == F.col("_salt_of_copy"))
-    return dealt.join(copies, matched).drop("_key", "_salt", "_salt_of_copy")
+    return dealt.join(copies, matched, how).drop("_key", "_salt", "_salt_of_copy")

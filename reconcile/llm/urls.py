@@ -101,7 +101,7 @@ def segment(labels: DataFrame, counts: DataFrame, longest: int = LONGEST) -> Dat
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """host, words of the distinct hosts: its labels in order, each cut into words."""
+    """host, words of the distinct hosts: its labels in order, each cut into words; no row for a host of dots and marks only."""
     labels = hosts.select("host", F.posexplode(F.split("host", "[.]")).alias("at", "label"))
     parts = labels.select("host", "at", F.posexplode(F.split("label", "[-_]+")).alias("part", "label")).where("label <> ''")
     cut = segment(parts.select("label").distinct(), counts)
@@ -115,15 +115,17 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     The verdict is the longest fitting rule's, else naive Bayes'; ``score`` is
     its log odds for blocking, and 0 (allow) if no page decided by a rule is
     known on either side. A null url, or one without ``://``, has an empty host and
-    path. Repeated rows are judged each; other columns are ignored.
+    path; an empty host, or one of dots and marks only, has no words. Repeated rows are judged each; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("by_rule", verdict)
     words = host_words(parsed.select("host").where("host <> ''").distinct(), unigrams(pages))
-    blank = parsed.where("host = ''").withColumn("words", F.array().cast("array<string>"))
-    named = salted_lookup(parsed.where("host <> ''"), words, "host", F.col("page_id"))
+    none = F.array().cast("array<string>")
+    blank = parsed.where("host = ''").withColumn("words", none)
+    named = salted_lookup(parsed.where("host <> ''"), words, "host", F.col("page_id"), how="left")
+    named = named.withColumn("words", F.coalesce("words", none))
     in_path = F.filter(F.split(F.lower(F.regexp_replace("path", "[0-9]+", "0")), "[^\\p{L}0-9]+"), lambda w: w != "")
     tokens = F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), F.transform(in_path, lambda w: F.concat(F.lit("p:"), w)))
     named = named.unionByName(blank).withColumn("buckets", F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))

@@ -167,6 +167,15 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_of_marks(spark):
+    """A host without a letter or digit has no words, but keeps its row, as often as it comes."""
+    hosts = [".", "...", "-", "_", "-.-", "__", "a", ".", ""]
+    pages = spark.createDataFrame([(i if i else None, f"http://{h}/x", None) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    found = {r["page_id"] or 0: r for r in urls.filter_urls(pages).collect()}
+    assert [found[i]["host"] for i in range(len(hosts))] == hosts
+    assert all(found[i]["words"] == (["a"] if h == "a" else []) and found[i]["verdict"] == "allow" for i, h in enumerate(hosts))
+
+
 def test_shards(spark, rows):
     found = sharding.shard(make_docs(spark, rows), 7).collect()
     counts = Counter(r["shard"] for r in found)
