@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over a few neighbouring words that ignores some of them.
+A seed is a fixed mask over a few neighbouring words that may ignore some of them.
 Documents and benchmark items are hashed at every position under every seed and joined on
 the hashes; around each hit the two word sequences are laid over each other
 and the longest stretch with enough equal words is measured, so that changed words
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from reconcile.llm.storage import cut, few, salted_lookup
 from reconcile.llm.tokens import Words, sequence_hash, slices
 
-#: Positions that count. Whatever two of 13 words are changed, the first one still hits.
-SEEDS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
+#: Positions that count. One of them hits wherever a fifth of the words or less are changed: in a short item
+#: anywhere, in a stretch of any other length but at its ends. The tests go through all patterns.
+SEEDS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 #: Words that an overlap must have (or all of a shorter item that has SHORTEST), and percent of them that are equal.
 OVERLAP, SHORTEST, EQUAL = 13, 8, 80
 #: The Bloom filter of benchmark hashes has 64 bits a hash, within these powers of two: 16 MB at most.
@@ -102,7 +103,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = (0, 0, 0, 0)
             for shift in set(batch.column(4)[row].as_py()):
                 low, high = max(0, shift), min(len(words), len(item) + shift)
-                start, length, equal = longest_overlap(words[low:high] == item[low - shift : high - shift])
+                same = words[low:high] == item[low - shift : high - shift]
+                if len(item) > OVERLAP:
+                    start, length, equal = longest_overlap(same)
+                else:  # whole or not at all, so its first and last word may be changed too
+                    start, length, equal = 0, len(same), int(same.sum())
+                    if length < len(item) or 100 * equal < EQUAL * length:
+                        continue
                 found = max(found, (length, equal, -(start + low), -shift))
             length, equal, start, shift = found
             if length >= min(OVERLAP, len(item)) and len(item) >= SHORTEST:
@@ -115,9 +122,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, n_words, n_equal, item_words: the longest overlap of each document with each item it leaks.
 
     docs (doc_id, text) and benchmark (item_id, text) are compared by words in
-    lower case (A-Z). An overlap is reported if it has ``OVERLAP`` words, or the whole
-    of an item of at least ``SHORTEST`` words, of which ``EQUAL`` percent are equal place
-    by place; ``start`` is its first word. Null and empty texts overlap with
+    lower case (A-Z). An overlap is reported if it has ``OVERLAP`` words and begins and ends
+    with an equal one, or is the whole of an item of ``SHORTEST`` to ``OVERLAP`` words, and
+    ``EQUAL`` percent of it are equal place by place; ``start`` is its first word. Null and empty texts overlap with
     nothing. Repeated rows are reported each; rows without id keep a null id.
     """
     items = cut(benchmark.select("item_id", "text").mapInArrow(_items, "item_id long, item array<long>, seeds array<struct<hash:long,at:int>>").withColumn("entry", F.monotonically_increasing_id()))

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 from math import log2
 
 import numpy as np
@@ -276,6 +277,40 @@ def test_decontamination(spark):
     assert decontaminate.without_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_seeds_hit_every_overlap():
+    """Least changes that keep all seeds off a stretch of n words are always more than a fifth of it."""
+    span = 1 + max(s[-1] for s in decontaminate.SEEDS)
+    masks = [sum(1 << s[-1] - o for o in s) for s in decontaminate.SEEDS]
+    for equal_ends, lengths in ((False, range(8, 14)), (True, range(14, 300))):
+        least = {0: 0}  # by the last words, 1 for an equal one
+        for n in range(1, lengths[-1] + 1):
+            longer = {}
+            for last, changes in least.items():
+                for same in (1,) if equal_ends and n == 1 else (0, 1):
+                    now = (last << 1 | same) & (1 << span) - 1
+                    if all(now & m != m for m in masks):
+                        longer[now] = min(longer.get(now, n), changes + 1 - same)
+            least = longer
+            if n in lengths:
+                assert all(5 * c > n for last, c in least.items() if last & 1 or not equal_ends)
+
+
+def test_changed_copies_are_found(spark):
+    """Every way to change a fifth of an item of 8 to 13 words, or of the inside of a stretch of 15 or 16, and one way too many."""
+    items, docs, want = [], [], {}
+    for n in (8, 9, 10, 11, 13, 15, 16):
+        items.append((n, " ".join(f"i{n}w{k}" for k in range(n))))
+        for count in (n // 5, n // 5 + 1):
+            for changed in combinations(range(n) if n <= 13 else range(1, n - 1), count):
+                name = len(docs)
+                docs.append((name, " ".join(["before"] + [f"i{n}w{k}" if k not in changed else "other" for k in range(n)] + ["after"]), None, None))
+                if count == n // 5:
+                    want[name, n] = (1, n, n - count)
+    found = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], r["n_equal"]) for r in decontaminate.contaminations(make_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: v for k, v in found.items() if k in want} == want
+    assert all(v[1] >= 13 and v[2] >= 0.8 * v[1] for k, v in found.items() if k not in want)
+
+
 def test_longest_overlap():
     draw = np.random.default_rng(6)
     for _ in range(200):
