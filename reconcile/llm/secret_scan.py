@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -24,14 +25,17 @@ CLASSES = (
     ("entropy_hex", re.compile(r"[0-9A-Fa-f]{%d,}" % WINDOW), 3.0),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW), 3.9),
 )
-#: Strings that are random or long by design, and no secrets.
+#: Candidates that are random or long by design, and no secrets.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|sha(?:1|256|384|512)[-:][A-Za-z0-9+/=]+"  # checksums that name themselves
-    r"|.*(?:example|sample|placeholder|abcdefghij|0123456789|x{8}).*"  # made up
-    r"|(?:/?[A-Za-z]+[-_/=]+)+[A-Za-z]*",  # words joined by marks: paths, slugs, rulers
+    r"|ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789(?:\+/|-_)=?",  # the letters of base64
     re.IGNORECASE,
 )
+#: What marks leave of a candidate (a plus sign belongs to no word), and the pieces that make no secret: words in
+#: lower case or capitalised, and what is made up by a fifth or more.
+PIECE, PLAIN = re.compile(r"[A-Za-z0-9]+|\+"), re.compile(r"[A-Za-z][a-z]*")
+MADE_UP = re.compile(r"example|sample|placeholder|abcdefghij|0123456789|x{8,}", re.IGNORECASE)
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 _CLOG = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
@@ -70,6 +74,15 @@ def high_entropy(run: str, least: float, window: int = WINDOW) -> Iterator[tuple
         yield begin, end
 
 
+def suspicious(string: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the pieces of string that are neither words nor made up."""
+    found = [
+        m.span() for m in PIECE.finditer(string)
+        if not PLAIN.fullmatch(m[0]) and 5 * sum(map(len, MADE_UP.findall(m[0]))) < len(m[0])
+    ]
+    return [start for start, _ in found], [end for _, end in found]
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place in KINDS, end) of every span in text, ordered; offsets are code points."""
     spans = []
@@ -81,12 +94,16 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for candidate in CLASSES[1][1].finditer(text):
         string = candidate[0]
-        if string.isalpha() and string[1:].islower() or ALLOWED.fullmatch(string):
+        if PLAIN.fullmatch(string) or ALLOWED.fullmatch(string):
             continue  # a long word, or allowed
+        starts, ends = suspicious(string)
         for place, (_, runs, least) in enumerate(CLASSES):
             for run in runs.finditer(string):
                 at = candidate.start() + run.start()
-                spans += [(at + b, 3 + place, at + e) for b, e in high_entropy(run[0], least)]
+                for b, e in high_entropy(run[0], least):
+                    first = bisect_right(ends, run.start() + b)
+                    if first < len(starts) and starts[first] < run.start() + e:
+                        spans.append((at + b, 3 + place, at + e))
     return sorted(spans)
 
 
@@ -113,7 +130,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are ``kind:start:end``, by start and then kind, comma-joined: all in
     ``spans``, those of the known forms in the digest. An assignment's span is
-    the whole match; only its value must be long enough. A null text is an empty
+    the whole match; only its value must be long enough. A span of high entropy is
+    left out only if all pieces between marks that it meets are words or made up, or its
+    whole candidate is ``ALLOWED``. A null text is an empty
     one and has no spans; repeated rows are scanned each, other columns ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)

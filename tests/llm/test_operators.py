@@ -1,7 +1,9 @@
 """The operators for training data against brute force on small tables, with nulls, empty texts, ties and clashing columns."""
 
+import base64
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -369,6 +371,36 @@ def test_secrets():
         assert not [s for s in secret_scan.find_secrets(allowed) if s[1] > 2]
 
 
+@pytest.mark.parametrize("text", [
+    "sample_key=q7Zp2LxV9mT4cRw8YsB1nKd5", "data/resample/q7Zp2LxV9mT4cRw8YsB1nKd5", "q7Zp2LxV9mT4cRw8YsB1nKd5/example", "xxxxxxxx-q7Zp2LxV9mT4cRw8YsB1nKd5",
+    "q7Zp2LxV9mT4cRw8YsB1nKd5" * 3 + "Sample", "AbCdEfGhKlMnOpQrStUvWxYz-_qRsT",
+])
+def test_secrets_beside_words(text):
+    """Words and made-up pieces hide nothing but themselves."""
+    at = max(text.find("q7Zp2"), 0)
+    assert any(kind == 4 and start < at + 20 and end > at + 20 for start, kind, end in secret_scan.find_secrets(text))
+
+
+def test_random_keys_are_found():
+    draw = random.Random(8)
+    missed = 0
+    for _ in range(4000):
+        key = base64.b64encode(draw.randbytes(16)).decode()
+        missed += any(secret_scan.high_entropy(key, 3.9)) and not any(s[1] == 4 for s in secret_scan.find_secrets(key))
+    assert missed == 0
+
+
+@pytest.mark.parametrize("text", ["Some-Long-Path/with_words/Only/in-it", "docs/Example/of-a_long/name/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_no_secrets(text):
+    assert not secret_scan.find_secrets(text)
+
+
+def test_marks_take_linear_time():
+    begun = time.perf_counter()
+    secret_scan.find_secrets("a=/" * 20000 + "1")
+    assert time.perf_counter() - begun < 5
+
+
 def test_entropy_windows():
     draw = random.Random(7)
     for _ in range(50):
