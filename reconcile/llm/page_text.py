@@ -10,39 +10,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_IN_VALUE = re.compile(r"=\s*[^\s\"'>]+/$")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-UNSEEN = {"script", "style", "head", "template", "noscript", "iframe", "noembed", "noframes", "object", "datalist", "audio", "video", "canvas", "svg", "math", "select", "title", "dialog"}
+UNSEEN = {"script", "style", "head", "template", "noscript", "iframe", "noembed", "noframes", "object", "datalist", "audio", "video", "canvas", "title", "dialog"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "pre", "blockquote", "figure", "hr", "fieldset", "menu", "dir"}
 BLOCKS = SPACED | {
     "html", "body", "div", "article", "aside", "section", "nav", "header", "footer", "main", "address", "form", "li", "dt", "dd",
-    "tr", "thead", "tbody", "tfoot", "caption", "details", "summary", "figcaption", "center", "hgroup", "search", "legend", "optgroup", "option",
+    "tr", "thead", "tbody", "tfoot", "caption", "details", "summary", "figcaption", "center", "hgroup", "search", "legend",
 }
+#: Elements of svg and math that show nothing, those whose content is HTML, and those that stand apart from what is before them.
+UNDRAWN = {
+    "svg": {"defs", "symbol", "clippath", "mask", "pattern", "marker", "desc", "metadata", "lineargradient", "radialgradient", "filter"},
+    "math": {"annotation", "annotation-xml", "mphantom"},
+}
+HTML_INSIDE = {"svg": {"foreignobject", "desc", "title"}, "math": {"mi", "mo", "mn", "ms", "mtext", "annotation-xml"}}
+APART = {"text", "foreignobject", "mtr", "mtd"}
+#: Start tags that end open svg and math.
+BREAK_OUT = {
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head",
+    "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup",
+    "table", "tt", "u", "ul", "var",
+}
 #: Start tag: the open elements it ends, and those that stop the search for them.
 _ITEM, _ROW, _TABLE = {"ul", "ol", "menu", "dir"}, {"table"}, {"table"}
 ENDS = {
     "li": ({"li"}, _ITEM), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "caption", "colgroup"}, _ROW), "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, _TABLE), "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, _TABLE),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, _TABLE), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, _TABLE), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "input": ({"select"}, _TABLE), "textarea": ({"select"}, _TABLE), "select": ({"select"}, _TABLE), "body": ({"head"}, set()),
 }
-_P = ({"p"}, {"table", "td", "th", "caption", "button", "object", "template"})
+_P = ({"p"}, {"table", "td", "th", "caption", "button", "object", "template", *HTML_INSIDE["svg"], *HTML_INSIDE["math"]})
 #: Elements beyond which an end tag finds no start tag.
-_FENCES = {"table", "td", "th", "caption"}
+_FENCES = {"table", "td", "th", "caption", "foreignobject"}
 DEEPEST_TABLE = 20
+#: Columns of a cell at most (as in browsers), and those that a cell of several rows keeps empty below it; no text hangs on it.
+WIDEST = 1000
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """``inside`` is what the content belongs to: svg (or text in it), math, or nothing for HTML."""
+
+    __slots__ = ("tag", "attributes", "children", "inside")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], inside: str = ""):
+        self.tag, self.attributes, self.children, self.inside = tag, attributes, [], inside
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -67,16 +86,43 @@ def parse(html: str) -> Node:
                 return
 
     def add(text: str) -> None:
-        if text:
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+        text = unescape(text) if "&" in text else text
+        if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            stack.pop()
+        if text and stack[-1].inside != "svg":
+            stack[-1].children.append(text)
+
+    def foreign(tag: str, attributes: str) -> None:
+        """Opens an element of svg or math, or svg or math itself."""
+        inside = stack[-1].inside
+        kind = inside.partition(" ")[0] or tag
+        node = Node(tag, _attributes(attributes))
+        if tag in UNDRAWN[kind] or node.attributes.get("display") == "none" or node.attributes.get("visibility") in ("hidden", "collapse"):
+            node.attributes["hidden"] = ""
+        if inside and tag in HTML_INSIDE[kind] and (tag != "annotation-xml" or "html" in node.attributes.get("encoding", "").lower()):
+            node.inside = ""
+        else:
+            node.inside = "svg text" if inside == "svg" and tag == "text" else tag if tag in ("svg", "math") else inside
+        if tag in APART or stack[-1].tag == "mfrac" and stack[-1].children:
+            stack[-1].children.append(" ")
+        stack[-1].children.append(node)
+        if not attributes.endswith("/") or _IN_VALUE.search(attributes):
+            stack.append(node)
 
     while (m := _MARKUP.search(html, at)) is not None:
         add(html[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
+            if stack[-1].inside and html.startswith("<![CDATA[", m.start()):
+                end = html.find("]]>", m.start())
+                text, at = html[m.start() + 9 : end if end >= 0 else len(html)], end + 3 if end >= 0 else len(html)
+                add(text.replace("&", "&amp;"))
             continue
         tag, ending, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if stack[-1].inside and (tag in ("p", "br") if ending else tag in BREAK_OUT or tag == "font" and {"color", "face", "size"} & _attributes(attributes).keys()):
+            while stack[-1].inside:
+                stack.pop()
         if ending:
             if tag in ("p", "br"):
                 if tag == "br" or not any(n.tag == "p" for n in stack):
@@ -85,6 +131,9 @@ def parse(html: str) -> Node:
             continue
         if tag == "html":
             continue
+        if stack[-1].inside:
+            foreign(tag, attributes)
+            continue
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in BLOCKS:
@@ -95,6 +144,9 @@ def parse(html: str) -> Node:
             stack.append(row)
         if tag != "title" and stack[-1].tag == "head" and tag not in ("meta", "link", "base", "script", "style", "noscript", "template"):
             stack.pop()
+        if tag in ("svg", "math"):
+            foreign(tag, attributes)
+            continue
         node = Node(tag, _attributes(attributes) if attributes.strip(" /\n\t") else {})
         stack[-1].children.append(node)
         if tag in RAW:
@@ -167,29 +219,79 @@ class _Page:
         return "\n".join(self.lines)
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    text = cell.attributes.get(name, "")
+    return 1 if not text.isdecimal() else most if len(text) > 9 else min(int(text), most)
+
+
+def _shown(select: Node) -> list[str]:
+    """What a select shows: its chosen option, the last if several, else the first that can be; of a list box everything."""
+    options: list[tuple[Node, bool]] = []
+    waiting = [(child, False) for child in reversed(select.children)]
+    while waiting:
+        node, off = waiting.pop()
+        if isinstance(node, str):
+            continue
+        off = off or "disabled" in node.attributes
+        if node.tag in ("option", "optgroup"):
+            options.append((node, off))
+        if node.tag != "option":
+            waiting += ((child, off) for child in reversed(node.children))
+    if "multiple" not in select.attributes and _span(select, "size", 9) <= 1:
+        options = [x for x in options if x[0].tag == "option"]
+        chosen = [x for x in options if "selected" in x[0].attributes][-1:]
+        options = chosen or [x for x in options if not x[1] and visible(x[0])][:1]
+    texts = []
+    for node, _ in options:
+        if visible(node):
+            label = unescape(node.attributes.get("label", ""))
+            texts.append(label if label or node.tag == "optgroup" else _words(node))
+    return texts
+
+
+def _words(option: Node) -> str:
+    parts, waiting = [], [*reversed(option.children)]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            parts.append(node)
+        elif visible(node):
+            waiting += reversed(node.children)
+    return " ".join("".join(parts).split())
+
+
 def _table(node: Node, depth: int) -> list[str]:
-    """The rows of a table, cells padded to the width of their column."""
+    """The rows of a table, cells padded to the width of their column; below a cell of several rows its columns stay empty."""
     rows: list[list[str]] = []
     captions, waiting = [], [*reversed(node.children)]
+    number, taken = 0, {}  # of the row, and by column the last row that a cell above reaches
     while waiting:
         child = waiting.pop()
-        if isinstance(child, str):
+        if child is None:  # the end of a group of rows
+            taken = {}
+        elif isinstance(child, str):
             if child.strip():
                 captions.append(_SPACE.sub(" ", child).strip())
         elif not visible(child):
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
-            waiting += reversed(child.children)
+            taken = {}
+            waiting += [None, *reversed(child.children)]
         elif child.tag == "tr":
             cells: list[str] = []
+            number += 1
             for cell in child.children:
                 if isinstance(cell, str):
                     if cell.strip():
                         cells.append(_SPACE.sub(" ", cell).strip())
                 elif visible(cell):
+                    while taken.get(len(cells), 0) >= number:
+                        cells.append("")
+                    wide, high = _span(cell, "colspan", WIDEST), _span(cell, "rowspan", 65534) or 65534
+                    if high > 1:
+                        taken |= dict.fromkeys(range(len(cells), min(len(cells) + max(wide, 1), WIDEST)), number + high - 1)
                     cells.append(" ".join(x for x in render(cell, depth + 1).split("\n") if x))
-                    span = cell.attributes.get("colspan", "")
-                    cells += [""] * (min(int(span), 1000) - 1 if span.isdecimal() else 0)
+                    cells += [""] * (wide - 1)
             if any(cells):
                 rows.append(cells)
         else:
@@ -224,6 +326,8 @@ def render(root: Node, depth: int = 0) -> str:
             elif tag == "dd":
                 page.end()
                 page.indent = page.indent[:-2]
+            elif tag == "svg":
+                page.text(" ", False)
             if tag in BLOCKS:
                 page.block(tag in SPACED and not (numbers and tag in ("ul", "ol", "menu", "dir")))
             continue
@@ -242,6 +346,12 @@ def render(root: Node, depth: int = 0) -> str:
             if node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search"):
                 page.text(f" {unescape(node.attributes.get('value', ''))} ", False)
             continue
+        if tag == "select":
+            for text in _shown(node):
+                page.text(f" {text} ", False)
+            continue
+        if tag == "svg":
+            page.text(" ", False)
         if tag in ("td", "th") and depth >= DEEPEST_TABLE:
             page.text(" ", False)
         if tag in BLOCKS and node is not root:
@@ -288,7 +398,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, text, n_chars and n_lines of every row of pages (page_id, html).
 
-    Malformed markup is read as a browser would: nothing visible is lost. Null or
+    Malformed markup is read as a browser would: nothing visible is lost. Text in svg and
+    math comes in the order of the source; a select gives the options that it shows. Null or
     empty html gives an empty text; repeated rows and null ids are kept; other
     columns are ignored.
     """

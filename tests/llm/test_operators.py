@@ -433,6 +433,23 @@ def test_html(html, text):
     assert page_text.extract(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<head><title>T</title>Hello <p>World", "Hello\n\nWorld"), ("<head> <title>T</title>\n</head>a", "a"),
+    ("<body><svg/>a<math/>b", "ab"), ("a<svg width=1><path d='M0'/><g><p>b<div>c", "a\n\nb\n\nc"), ("<svg a=b/>x<p>c", "c"),
+    ("<p>a<svg><title>no</title>no<g><text>T <tspan>u</tspan></text><text>v</text></g><defs><text>no</text></defs></svg>b", "a T u v b"),
+    ("<svg><text><![CDATA[a > b & c]]></text><text display='none'>no</text></svg>", "a > b & c"), ("<svg><style/><text>a</text></svg>b", "a b"),
+    ("<p>x<svg><foreignObject><p>in</p></foreignObject></svg>y", "x\n\nin\n\ny"),
+    ("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> end", "x=1 2 end"),
+    ("<p>is <select><option>a<option selected>b &amp; c<option>d</select> it", "is b & c it"), ("<select><option disabled>a<option>b</select>c", "b c"),
+    ("<select multiple><optgroup label=g><option>a<option>b</select>c", "g a b c"), ("<select><option>a</option><input value=v><p>rest", "a v\n\nrest"),
+    ("a<!-->b<!--->c<!-- - -->d<!---->e<!-- x --!>f", "abcdef"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+])
+def test_html_as_shown(html, text):
+    assert page_text.extract(html) == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "<p>a", "x"), (None, None, "y"), (1, "<p>a", "x")], "page_id long, html string, text string")
     assert Counter(map(tuple, page_text.extract_text(pages).collect())) == Counter([(1, "a", 1, 1), (1, "a", 1, 1), (None, "", 0, 0)])
