@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reconcile.llm import decontaminate, language, lines, mixing, neighbours, ngram_join, page_text, secret_scan, sharding, urls
+from reconcile.llm import (
+    clusters, decontaminate, language, lines, mixing, neighbours, ngram_join, page_text, quality, secret_scan, sharding, spelling, sql, urls,
+)
 from reconcile.llm.storage import table
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_spelling_variants": sql.SPELLING,
+    "op12_centroid_clustering": sql.CLUSTERS,
+}
 
 
 def query(function):
@@ -75,3 +80,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
