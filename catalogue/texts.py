@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue import query, table
+from catalogue import query, table, work_folder
 from reconcile import plan, sources, text
+from reconcile.functions import keys
 
 BLANKS = "replace(text, chr(10), '  ' || chr(9) || chr(13) || chr(10)) || ' ' || chr(9) || chr(10) || chr(10)"
 NORMAL = r"regexp_replace(regexp_replace({0}, '[^\S\n]+(\n|$)', '\1', 'g'), '\s+$', '')"
@@ -103,6 +104,32 @@ def corpus_definitions(spark, sf_dir):
     return definitions.select("database_name", "table_name", "source", F.md5("content").alias("hash"))
 
 
+# A corpus of real files: one for each document, some empty, some not UTF-8, databases and tables with names that
+# Spark's readers hide.
+HIDDEN = "CASE WHEN n_chars % 3 = 0 THEN '_' ELSE '' END"
+FILE_DATABASE, FILE_TABLE = f"{HIDDEN} || source", f"{HIDDEN} || lang || '-' || CAST(doc_id AS string)"
+FILE_KEYS = f"{FILE_DATABASE} AS database_name, {FILE_TABLE} AS table_name"
+EMPTY = "n_chars % 5 = 0"
+
+
+@query(f"""SELECT {FILE_KEYS}, CASE WHEN {BROKEN} THEN 'invalid UTF-8' ELSE 'read' END AS outcome,
+  CASE WHEN NOT ({BROKEN}) THEN md5(CASE WHEN {EMPTY} THEN '' ELSE text END) END AS hash
+FROM documents WHERE n_chars % 3 = 0 OR lang IN ('de', 'fr')""")
+def corpus_read(spark, sf_dir):
+    """Written as files by the tasks and read back in scope: every hidden database, and two languages of the others."""
+    base = f"{work_folder(spark)}/corpus"
+    files = table(spark, sf_dir, "documents").select(
+        F.expr(f"{FILE_DATABASE} AS database_name"), F.expr(f"{FILE_TABLE} AS table_name"),
+        F.expr(f"CASE WHEN {BROKEN} THEN concat(cast(text AS binary), X'FFFEFD') WHEN {EMPTY} THEN X'' ELSE cast(text AS binary) END AS content"),
+    )
+    sources.write_corpus(files, base)
+    definitions, errors = sources.read_corpus(spark, base, ["_*.*", "*.de-*", "*.fr-*"])
+    names = keys.path_names(F.col("source"))
+    lost = errors.select(names["database_name"].alias("database_name"), names["table_name"].alias("table_name"), F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("hash"))
+    read = definitions.select("database_name", "table_name", F.lit("read").alias("outcome"), F.md5(F.col("content").cast("binary")).alias("hash"))
+    return read.unionByName(lost)
+
+
 @query(f"""SELECT {FILES} AS source, CASE WHEN n_chars < 200 THEN 'invalid identifier' ELSE 'invalid UTF-8' END AS reason
 FROM documents WHERE {RIGHT_PLACE} AND (n_chars < 200 OR {BROKEN})""")
 def corpus_errors(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Sources: definition corpora, fragments and versioned snapshots."""
 
-from reconcile.sources.corpus import parse_corpus, read_corpus, with_unreadable
+from reconcile.sources.corpus import parse_corpus, read_corpus, with_unreadable, write_corpus
 from reconcile.sources.fragments import assemble
 from reconcile.sources.versions import latest_version, read_version, write_version
 
-__all__ = ["assemble", "latest_version", "parse_corpus", "read_corpus", "read_version", "with_unreadable", "write_version"]
+__all__ = ["assemble", "latest_version", "parse_corpus", "read_corpus", "read_version", "with_unreadable", "write_corpus", "write_version"]

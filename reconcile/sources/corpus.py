@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reconcile.functions.keys import is_identifier, key_from_path, path_names
+from reconcile.sources.definition_files import DefinitionFiles
 
 
-def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+def read_corpus(spark: SparkSession, base: str, targets: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(definitions, errors)`` of the ``.sql`` files exactly two levels below ``base``.
 
     A base that is missing or no directory is an error. Files at other depths
-    and with other extensions are left out; empty files are kept. Spark's reader
-    cannot open files whose names start with ``_`` or a dot: they come as errors,
-    so that ``with_unreadable`` keeps their keys out of a plan; ``parse_corpus``
-    takes them from a table of files. Hidden directories are read.
+    and with other extensions are left out; empty files are kept, and so are names
+    that begin with ``_``. Files that cannot be opened come as errors. With
+    ``targets`` (``database.table`` patterns) only directories and files in scope are listed and opened.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -22,35 +24,36 @@ def read_corpus(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
         raise FileNotFoundError(f"directory does not exist: {base}")
     if not fs.getFileStatus(path).isDirectory():
         raise NotADirectoryError(f"path is not a directory: {base}")
-    root = fs.makeQualified(path).toString().rstrip("/")
-    # Directories that are named are read even if their names are hidden; below them names are not.
-    inside = spark._jvm.org.apache.hadoop.fs.Path(path, "*")
-    hidden = [
-        status.getPath().toString()
-        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*/[_.]*.sql")) or []
-        if status.isFile()
-    ]
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.sql")
-        .load(inside.toString() if fs.globStatus(inside) else base)
-        .select("path", "content")
-    )
-    # The reader gives no row for a file of length zero. Such files are those
-    # that were listed and not read. The listing stays in the JVM that made it,
-    # and only paths are compared, no contents.
-    paths = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
-    strings = spark._jvm.org.apache.spark.sql.Encoders.STRING()
-    listed = DataFrame(spark._jsparkSession.createDataset(paths, strings).toDF(), spark)
-    # As URLs: escaped, and with three slashes where there is no host.
-    path = F.regexp_replace(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))), r"\A([^:/]+):///", "$1:/")
-    empty = listed.select(path.alias("path")).join(files.select("path"), "path", "left_anti")
-    definitions, errors = parse_corpus(files.unionByName(empty.withColumn("content", F.lit(b""))), root)
-    unopened = spark.createDataFrame([(p,) for p in hidden], "source string")
-    # The listing of dots: Spark's glob takes them up, the reader does not.
-    lost = unopened.select("source", F.when(key_from_path(F.col("source")).isNull(), "invalid identifier").otherwise("hidden name").alias("reason"))
-    return definitions.join(unopened, "source", "left_anti"), errors.join(unopened, "source", "left_anti").unionByName(lost)
+    # The tasks open files by themselves, so they need the place behind a mount table.
+    root = fs.resolvePath(path).toString().rstrip("/")
+    spark.dataSource.register(DefinitionFiles)
+    reader = spark.read.format("definition_files").option("tasks", 2 * spark.sparkContext.defaultParallelism)
+    targets = list(targets or [])
+    if targets:
+        reader = reader.option("targets", "\n".join(t for t in targets if "\n" not in t))
+    files = reader.load(root)
+    definitions, errors = parse_corpus(files.where("reason is null"), root)
+    closed = files.where("reason is not null").select(F.col("path").alias("source"), "reason")
+    return definitions, errors.unionByName(closed)
+
+
+def write_corpus(definitions: DataFrame, base: str) -> None:
+    """Write ``database_name, table_name, content`` as files ``<base>/<database>/<table>.sql``.
+
+    A file that is there is replaced, other files stay. Files appear whole, one
+    by one; a task that runs again writes the same ones. A name that can be no
+    file's, or is no identifier, ends the job; null content is an empty file.
+    """
+    spark = definitions.sparkSession
+    spark.dataSource.register(DefinitionFiles)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("no identifier:"), "database_name", "table_name"))
+    valid = is_identifier(F.col("database_name")) & is_identifier(F.col("table_name"))
+    checked = definitions.withColumn("table_name", F.when(valid, F.col("table_name")).otherwise(wrong.cast("string")))
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    root = fs.resolvePath(path).toString()
+    checked.select("database_name", "table_name", "content").write.format("definition_files").mode("append").save(root)
 
 
 def parse_corpus(files: DataFrame, base: str = "") -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from reconcile import sources
+from reconcile.sources.definition_files import DefinitionReader
 
 
 @pytest.fixture()
@@ -42,19 +45,77 @@ def test_read_corpus(spark, corpus):
     assert found == {
         ("salesdb", "customers"): "CREATE TABLE customers (id int)\n", ("salesdb", "orders"): "-- é\nCREATE",
         ("marketingdb", "customers"): "CREATE", ("linked", "customers"): "CREATE", ("my-database", "my-table"): "x",
-        ("my-database", "t" * 200): "x", ("salesdb", "empty"): "", ("_db", "t"): "x",
+        ("my-database", "t" * 200): "x", ("salesdb", "empty"): "", ("_db", "t"): "x", ("salesdb", "_hidden"): "x",
     }
     reasons = {r.source.rsplit("/", 2)[-2] + "/" + r.source.rsplit("/", 1)[-1]: r.reason for r in errors.collect()}
     assert reasons == {
         "salesdb/broken.sql": "invalid UTF-8", "salesdb/bad name.sql": "invalid identifier", "sales db/t.sql": "invalid identifier",
         "salesdb/a.b.sql": "invalid identifier", "salesdb/empty+x y%2B.sql": "invalid identifier",
-        "salesdb/.dotted.sql": "invalid identifier", "salesdb/_hidden.sql": "hidden name",
+        "salesdb/.dotted.sql": "invalid identifier",
     }
 
 
 def test_unreadable_files_keep_their_key(spark, corpus):
     found = sources.with_unreadable(*sources.read_corpus(spark, str(corpus))).where("content is null").collect()
-    assert [(r.database_name, r.table_name) for r in found] == [("salesdb", "broken"), ("salesdb", "_hidden")]
+    assert [(r.database_name, r.table_name) for r in found] == [("salesdb", "broken")]
+
+
+@pytest.mark.parametrize(
+    "targets, expected",
+    [
+        (["salesdb.cust*"], {"salesdb.customers"}),
+        (["*.customers", "my*.*-t*"], {"salesdb.customers", "marketingdb.customers", "linked.customers", "my-database.my-table"}),
+        (["_*.*"], {"_db.t"}),
+        (["malformed", "a.b.c"], set()),
+        (["sales.*"], set()),
+    ],
+)
+def test_only_what_is_in_scope_is_opened(spark, corpus, targets, expected):
+    definitions, _ = sources.read_corpus(spark, str(corpus), targets)
+    assert {f"{r.database_name}.{r.table_name}" for r in definitions.collect()} == expected
+    # The directories out of scope are not even tasks.
+    reader = DefinitionReader({"path": str(corpus), "targets": "\n".join(targets), "tasks": "3"})
+    assert {p.database for p in reader.partitions() if p.database} >= {e.split(".")[0] for e in expected}
+    assert all(p.database in {"salesdb", "marketingdb", "linked", "my-database", "_db", "sales db", "emptydb", ""} for p in reader.partitions())
+    if targets == ["_*.*"]:
+        assert {p.database for p in reader.partitions()} == {"_db"}
+
+
+def test_a_large_directory_is_shared_by_tasks(tmp_path):
+    (tmp_path / "db").mkdir()
+    for n in range(500):
+        (tmp_path / "db" / f"t{n}.sql").write_text(str(n))
+    reader = DefinitionReader({"path": str(tmp_path), "tasks": "10"})
+    shares = [[r for batch in reader.read(p) for r in batch.column(1).to_pylist()] for p in reader.partitions()]
+    assert len(shares) == 10 and max(map(len, shares)) < 100
+    assert sorted(int(c) for share in shares for c in share) == list(range(500))
+
+
+def test_unreadable_and_odd_names(spark, tmp_path):
+    (tmp_path / "db").mkdir()
+    (tmp_path / "db" / "gone.sql").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "db" / "dir.sql").mkdir()
+    (tmp_path / "db" / "a b%20c+d.sql").write_text("x")
+    (tmp_path / "db" / "ok.sql").write_text("x")
+    with open(os.fsencode(str(tmp_path / "db")) + b"/bad\xff.sql", "w") as file:
+        file.write("x")
+    definitions, errors = sources.read_corpus(spark, str(tmp_path))
+    assert [r.table_name for r in definitions.collect()] == ["ok"]
+    assert {(r.source.rsplit("/", 1)[1], r.reason) for r in errors.collect()} == {
+        ("", "name is not UTF-8"), ("a b%20c+d.sql", "invalid identifier"),
+    }
+
+
+def test_write_corpus(spark, tmp_path):
+    base = str(tmp_path / "out" / "corpus")
+    rows = [("a", "x", "1\n"), ("_a", "_x", None), ("a", "é-1", "é")]
+    sources.write_corpus(spark.createDataFrame(rows, "database_name string, table_name string, content string"), base)
+    sources.write_corpus(spark.createDataFrame([("a", "x", "2")], "database_name string, table_name string, content string"), base)
+    found = {(r.database_name, r.table_name): r.content for r in sources.read_corpus(spark, base)[0].collect()}
+    assert found == {("a", "x"): "2", ("_a", "_x"): "", ("a", "é-1"): "é"}
+    with pytest.raises(Exception, match="no identifier: a ../b"):
+        sources.write_corpus(spark.createDataFrame([("a", "../b", "2")], "database_name string, table_name string, content string"), base)
+    assert not [p for p in (tmp_path / "out").rglob("*.unfinished")]
 
 
 def test_base_must_be_a_directory(spark, tmp_path):
