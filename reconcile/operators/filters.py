@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from reconcile.functions.automaton import PatternAutomaton
 
 NOT_NEWLINE = r"[^\n]*"  # what a * inside a longer pattern stands for
 
@@ -129,87 +132,70 @@ def _alternatives(patterns: list[tuple[str, str]], database: Column, table: Colu
     ]
 
 
-def target_semi_join(df: DataFrame, patterns: DataFrame, database: str, table: str, pattern: str = "pattern") -> DataFrame:
-    """Rows of ``df`` whose (database, table) matches any pattern of a pattern table, as ``target_predicate`` has it.
-
-    Whatever its size, the table is joined, and never broadcast by us: plain
-    names by equality, wildcards by a short piece of text that pattern and name
-    share. Unlike an empty list of targets, an empty table matches nothing.
-    """
-    known = patterns.select(F.col(pattern).alias("p")).where("p is not null").distinct()
-    return _joined(df, known, database, table)
+#: Characters of patterns that one automaton is built of (some 150 bytes of memory for each), and automata that a
+#: task holds at a time.
+BLOCK_CHARS, BLOCKS = 1 << 18, 4
 
 
-GRAM = 3  # longest shared piece used as join key
-
+def target_semi_join(
+    df: DataFrame, patterns: DataFrame, database: str, table: str, pattern: str = "pattern", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """Rows of ``df`` whose (database, table) matches any pattern of a pattern table, as ``target_predicate`` has it.
 
-def _joined(df: DataFrame, known: DataFrame, database: str, table: str) -> DataFrame:
-    parts = F.split("p", r"\.", -1)
-    wanted = known.where(F.size(parts) == 2).select(
-        F.get(parts, F.lit(0)).alias("pd"), F.get(parts, F.lit(1)).alias("pt")
-    )
-    d, t = F.col(database), F.col(table)
-    names = df.select(d.alias("d"), t.alias("t")).distinct()
-    d_plain, t_plain = ~F.contains("pd", F.lit("*")), ~F.contains("pt", F.lit("*"))
-    only_stars = F.rlike(F.concat("pd", "pt"), F.lit(r"\A\*+\z"))
-    by_database = wanted.where(d_plain & ~t_plain)
-    by_table = wanted.where(~d_plain & t_plain)
-    by_piece = wanted.where(~d_plain & ~t_plain & ~only_stars)
-    found = [
-        names.join(wanted, (F.col("d") == F.col("pd")) & (F.col("t") == F.col("pt")), "left_semi"),
-        names.join(by_database, (F.col("d") == F.col("pd")) & _like("t", "pt"), "left_semi"),
-        names.join(by_table, (F.col("t") == F.col("pt")) & _like("d", "pd"), "left_semi"),
-        _by_piece(names, by_piece),
-    ]
-    # Two stars or more mean the same as two, so there are at most four such patterns. A
-    # lone star is met by every name, more by those that are known and have no newline.
-    halves = [F.when(F.col(p) == "*", "*").otherwise("**").alias(p) for p in ("pd", "pt")]
-    stars = wanted.where(only_stars).select(*halves).distinct()
-    whole = {v: F.coalesce(~F.contains(v, F.lit("\n")), F.lit(False)) for v in ("d", "t")}
-    offers = [F.struct(F.lit(a).alias("pd"), F.lit(b).alias("pt")) for a in ("*", "**") for b in ("*", "**")]
-    met = F.filter(F.array(*offers), lambda o: ((o["pd"] == "*") | whole["d"]) & ((o["pt"] == "*") | whole["t"]))
-    offered = names.select("d", "t", F.explode(met).alias("o")).select("d", "t", "o.pd", "o.pt")
-    found.append(offered.join(stars, ["pd", "pt"], "left_semi").select("d", "t"))
-    hits = functools.reduce(DataFrame.unionByName, found).distinct().toDF("__d", "__t")
-    return df.join(hits, d.eqNullSafe(F.col("__d")) & t.eqNullSafe(F.col("__t")), "left_semi")
-
-
-def _like(value: str, pattern: str) -> Column:
-    """``matches`` with the pattern in a column."""
-    quoted = F.replace(F.col(pattern), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    inner = F.replace(quoted, F.lit("*"), F.lit("\\E" + NOT_NEWLINE + "\\Q"))
-    regex = F.concat(F.lit("\\A\\Q"), inner, F.lit("\\E\\z"))
-    return (F.col(pattern) == "*") | F.rlike(F.col(value), regex)
-
-
-def _by_piece(names: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Patterns with a star in both halves, met at the head of their longest literal piece.
-
-    A name that matches holds that piece, so it offers every run of up to
-    ``GRAM`` characters it has; the whole pattern is then checked on the pairs
-    that share one.
+    The patterns become automata that the names run through where they are read:
+    ``df`` is not moved, so no name and no pattern can be too frequent. An
+    automaton holds a bounded part of the table; where there are more than a task
+    may hold, the distinct names go by all of them in turn, and patterns without a
+    star, of which there may be as many as names, are joined by equality.
+    Unlike an empty list of targets, an empty table matches nothing.
     """
-
-    def pieces(pattern: str, side: str) -> Column:
-        return F.transform(
-            F.split(pattern, r"\*", -1),
-            lambda x: F.struct(F.length(x).alias("n"), F.lit(side).alias("side"), x.alias("piece")),
-        )
-
-    keyed = wanted.withColumn("best", F.array_max(F.concat(pieces("pd", "d"), pieces("pt", "t")))).select(
-        "pd", "pt", F.col("best.side").alias("pside"), F.substring("best.piece", 1, GRAM).alias("pgram")
-    )
-
-    def offered(name: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-        runs = F.transform(
-            F.array(*[F.lit(n) for n in range(1, GRAM + 1)]),
-            lambda n: F.transform(starts, lambda s: F.substring(F.col(name), s, n)),
-        )
-        return names.select(
-            "d", "t", F.lit(name).alias("side"), F.explode(F.array_distinct(F.flatten(runs))).alias("gram")
-        )
-
-    shared = (F.col("side") == F.col("pside")) & (F.col("gram") == F.col("pgram"))
-    pairs = offered("d").unionByName(offered("t")).join(keyed, shared & _like("d", "pd") & _like("t", "pt"), "left_semi")
-    return pairs.select("d", "t")
+    parts = F.split(F.col(pattern), r"\.", -1)
+    wanted = patterns.where(F.col(pattern).isNotNull() & (F.size(parts) == 2)).select(
+        F.get(parts, F.lit(0)).alias("pd"), F.get(parts, F.lit(1)).alias("pt")
+    ).distinct()
+    chars = F.sum(F.length("pd") + F.length("pt") + 2)
+    if (wanted.agg(chars).first()[0] or 0) <= block_chars * BLOCKS:
+        blocks = _blocks(wanted, block_chars)
+        return df.where(_any([automaton(b)(F.col(database), F.col(table)) for b in blocks])) if blocks else df.where(F.lit(False))
+    starred = F.contains(F.concat("pd", "pt"), F.lit("*"))
+    names = df.select(F.col(database).alias("__d"), F.col(table).alias("__t")).distinct()
+    plain = wanted.where(~starred).select(F.col("pd").alias("__d"), F.col("pt").alias("__t"))
+    hits = names.join(plain, ["__d", "__t"], "left_semi")
+    blocks = _blocks(wanted.where(starred), block_chars)
+    for first in range(0, len(blocks), BLOCKS):
+        some = [automaton(b)(F.col("__d"), F.col("__t")) for b in blocks[first : first + BLOCKS]]
+        hits = hits.unionByName(names.where(_any(some)))
+    same = F.col(database).eqNullSafe(F.col("__d")) & F.col(table).eqNullSafe(F.col("__t"))
+    return df.join(hits.distinct(), same, "left_semi")
+
+
+def _blocks(wanted: DataFrame, block_chars: int) -> list[list[tuple[str, str]]]:
+    """The patterns, each block of them bounded in size and taken over by itself."""
+    blocks: list[list[tuple[str, str]]] = []
+    size = block_chars
+    for row in wanted.toLocalIterator():
+        if size >= block_chars:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((row.pd, row.pt))
+        size += len(row.pd) + len(row.pt) + 2
+    return blocks
+
+
+def automaton(patterns: list[tuple[str, str]]) -> Callable[[Column, Column], Column]:
+    """A predicate on (database, table): any of the patterns matches. Two columns go through it, nothing else of a row."""
+    shared = SparkSession.active().sparkContext.broadcast(patterns)
+
+    @F.arrow_udf("boolean")
+    def matched(databases: pa.Array, tables: pa.Array) -> pa.Array:
+        known = _built(shared)
+        names = list(zip(databases.to_pylist(), tables.to_pylist()))
+        found = {name: known.matches(*name) for name in set(names)}
+        return pa.array([found[name] for name in names], pa.bool_())
+
+    return matched
+
+
+@functools.lru_cache(maxsize=BLOCKS)
+def _built(shared) -> PatternAutomaton:
+    return PatternAutomaton(shared.value)

@@ -1,7 +1,12 @@
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from reconcile import filters
+from reconcile.functions.automaton import PatternAutomaton
 
 NAMES = [
     ("salesdb", "customers"), ("salesdb", "orders"), ("salesdb_prod", "orders"), ("marketingdb", "leads"),
@@ -64,6 +69,45 @@ def test_semi_join_agrees_with_the_predicate(spark):
         assert {tuple(r) for r in found.collect()} == expected, chosen
 
 
+def test_automaton_agrees_with_each_pattern_alone():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ab\n\x03é") for _ in range(rng.randrange(6))) for _ in range(60)] + [None]
+    halves = ["".join(rng.choice("ab*é\n") for _ in range(rng.randrange(5))) for _ in range(60)]
+    for size in (1, 2, 40):
+        patterns = [(rng.choice(halves), rng.choice(halves)) for _ in range(size)]
+        machine = PatternAutomaton(patterns)
+
+        def half(pattern, name):
+            if pattern == "*":
+                return True
+            return name is not None and re.fullmatch("[^\n]*".join(map(re.escape, pattern.split("*"))), name) is not None
+
+        for _ in range(600):
+            d, t = rng.choice(words), rng.choice(words)
+            assert machine.matches(d, t) == any(half(pd, d) and half(pt, t) for pd, pt in patterns), (patterns, d, t)
+
+
+def test_more_patterns_than_a_task_holds(spark):
+    targets = [f"{d}.{t}" for d in ("sales*", "m*d*", "salesdb", "*", "**") for t in ("*o*", "c*s", "customers", "TABLE*", "*x")] + ["bad", None]
+    df = spark.createDataFrame([*NAMES, (None, "customers"), ("salesdb", None)], "d string, t string")
+    patterns = spark.createDataFrame([(p,) for p in targets * 2], "pattern string")
+    whole, parts = (Counter(map(tuple, filters.target_semi_join(df, patterns, "d", "t", block_chars=n).collect())) for n in (1 << 20, 12))
+    assert whole == parts and (None, "customers") in whole
+
+
+def test_names_do_not_move(spark):
+    """A third of the rows have one name and all patterns share their pieces: there is no exchange, so no task gets more than it read."""
+    df = spark.range(0, 3000, 1, 6).selectExpr("'hot_' || if(id % 3 = 0, 1, id) AS d", "'t' || if(id % 3 = 0, 1, id) AS t")
+    patterns = spark.createDataFrame([(f"hot*{n}.t*{n}",) for n in range(0, 2000, 3)] + [("hot_1*.t*",)], "pattern string")
+    kept = filters.target_semi_join(df, patterns, "d", "t")
+    shown = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in shown and shown.count("Range") == 1
+    names = ["1" if n % 3 == 0 else str(n) for n in range(3000)]
+    assert kept.count() == sum(n.startswith("1") or any(n.endswith(str(m)) for m in range(0, 2000, 3)) for n in names)
+    tasks = kept.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in tasks) < 2 * sum(r["count"] for r in tasks) / len(tasks)
+
+
 @pytest.mark.parametrize(
     "targets, pushed",
     [
