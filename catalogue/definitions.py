@@ -142,6 +142,37 @@ def ddl_plan_staged(spark, sf_dir):
     return planned.where(complete).select(*KEYS, "operation")
 
 
+def _line(old: str, new: str | None = None, when: str = "false") -> str:
+    """A line of both texts, or what becomes of it where the condition holds: replaced, or dropped if there is no new one."""
+    changed = f"['-' || {old}" + ("" if new is None else f", '+' || {new}") + "]"
+    return f"CASE WHEN {when} THEN {changed} ELSE [' ' || {old}] END"
+
+
+# The lines of the older definition, each with what the newer one makes of it.
+QUOTE = "chr(39)"
+MARKED = " || ".join([
+    _line(f"'CREATE EXTERNAL TABLE `' || {DB} || '`.`t` ('"),
+    _line("'  `ID` int,'", "'  `ID` bigint,'", big("ECONOMY")),
+    _line(*[f"'  ' || {SIZE} || ' Decimal(10,2) COMMENT ' || {QUOTE} || {c} || {QUOTE} || ','" for c in (OLD_COMMENT, "p_brand")], big("SMALL")),
+    _line("'  tags map<string,array<struct<k:string,v:int>>>,'"),
+    f"CASE WHEN {big('PROMO')} THEN ['-  location string,'] WHEN {big('LARGE')} THEN ['+  extra array<string>,'] ELSE [] END",
+    _line("'  name string)'"),
+    _line(f"'PARTITIONED BY ( {PARTITIONS} )'", None, big("ECONOMY")),
+    _line("'STORED AS PARQUET'", "'STORED AS orc'", big("MEDIUM")),
+    _line(*[f"'LOCATION ' || {QUOTE} || {place} || {QUOTE}" for place in (OLD_LOCATION, "'s3://archive/' || p_name")], big("STANDARD")),
+    _line(*[f"replace('TBLPROPERTIES (\"a,b\"=\"' || p_brand || '\", \"kind\" = \"' || {kind} || '\")', '\"', {QUOTE})" for kind in ("p_type", "'huge'")], big("LARGE")),
+])
+
+
+@query(f"""SELECT database_name, table_name, '--- remote: ' || name || chr(10) || '+++ local:  ' || name || chr(10) || array_to_string(shown, chr(10)) || chr(10) AS text_diff
+FROM (SELECT *, database_name || '.' || table_name AS name,
+  list_filter(marked, lambda m, i: len(list_filter(marked[greatest(i - 3, 1):i + 3], lambda x: x[1] <> ' ')) > 0) AS shown
+  FROM ({_named(f"{MARKED} AS marked", CHANGED)}))""")
+def ddl_line_diff(spark, sf_dir):
+    """The whole text of each diff: headers, marks, order and three lines of context."""
+    return _plan(spark, sf_dir).where("operation = 'Update'").select(*KEYS, "text_diff")
+
+
 COLUMN_CHANGES = [
     _named("'TypeChanged' AS change_type, 'id' AS column_name, 'int' AS old_type, 'bigint' AS new_type", big("ECONOMY")),
     _named("'Removed' AS change_type, 'location' AS column_name, 'string' AS old_type, NULL AS new_type", big("PROMO")),
