@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reconcile.sources.versions import shared_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -27,13 +28,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; a local session may do without that setting."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="run-")
-    return f"{shared.rstrip('/')}/queries-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/queries-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -135,6 +135,31 @@ def plan_cell_changes(spark, sf_dir):
     return drift.cell_changes(planned, ["k"])
 
 
+# Events: a column of nested values, with maps whose entries come in another order, and with a dot in its name.
+LOUD = "event_type = 'click' AND value < 20"
+NESTED_NAME = "what.happened"
+
+
+def _events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events")
+
+    def nested(*entries: str) -> DataFrame:
+        value = f"array(named_struct('m', map({', '.join(entries)}), 'v', value), named_struct('m', cast(null AS map<string, string>), 'v', value))"
+        return events.select("event_id", F.expr(value).alias(NESTED_NAME))
+
+    return nested("'type'", "event_type", "'props'", "props"), nested("'props'", "props", "'type'", f"CASE WHEN {LOUD} THEN upper(event_type) ELSE event_type END")
+
+
+@query(f"SELECT event_id, 'Update' AS operation, '{NESTED_NAME}' AS changed FROM events WHERE {LOUD}")
+def plan_nested(spark, sf_dir):
+    return _changed_columns(plan.plan(*_events(spark, sf_dir), ["event_id"]), "event_id")
+
+
+@query(f"SELECT event_id, CASE WHEN {LOUD} THEN 'Update' ELSE 'NoChange' END AS operation FROM events")
+def plan_nested_by_digest(spark, sf_dir):
+    return plan.plan(*_events(spark, sf_dir), ["event_id"], details=False, include_unchanged=True)
+
+
 # Lineitem: keys repeat.
 KEYS = ["l_orderkey", "l_linenumber"]
 ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]

@@ -11,6 +11,7 @@ from reconcile.functions import text
 from reconcile.functions.keys import qualified_name
 from reconcile.operators import drift
 from reconcile.plans.plan import UPDATE, Where, plan, scoped
+from reconcile.sources.versions import shared_folder
 
 KEYS = ["database_name", "table_name"]
 
@@ -47,19 +48,19 @@ def plan_definitions(
     A definition without content could not be read; its key is left out of both
     sides, see ``unreadable`` and ``sources.with_unreadable``.
 
-    By default every text travels once, to its key. With ``staging`` only digests
-    travel: the small plan is written there, read back with its true size, and
-    texts are fetched for updated keys alone; Spark broadcasts those keys if they
-    are few. That pays when little has changed. ``staging`` is a path that does
-    not exist yet, or True for one below the session's ``spark.checkpoint.dir``.
+    Only digests travel to learn what changed: the small plan is written to
+    ``staging``, read back with its true size, and texts are fetched for updated
+    keys alone; Spark broadcasts those keys if they are few, and no text moves
+    that isn't shown. ``staging`` is a path that does not exist yet, by default one
+    below the session's ``spark.checkpoint.dir``. With ``staging=False`` nothing is
+    written and every text travels once, to its key; that is less work where most have changed.
     """
     options = dict(compare=[content], required=[content], normalize="trailing", include_unchanged=include_unchanged)
-    if staging is None:
+    if staging is False:
         planned = plan(current, desired, keys, targets=targets, where=where, **options)
         return with_definition_details(planned, keys, content, context, comments, table_properties)
     spark = current.sparkSession
-    if staging is True:
-        staging = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/plan-{uuid.uuid4().hex}"
+    staging = f"{shared_folder(spark)}/plan-{uuid.uuid4().hex}" if staging in (None, True) else staging
     targets = None if targets is None else list(targets)
     plan(current, desired, keys, targets=targets, where=where, details=False, **options).write.parquet(staging)
     planned = spark.read.parquet(staging)

@@ -66,9 +66,9 @@ def plan(
     read: its key takes part on neither side, so that it is not taken for a
     deletion or creation. ``unreadable`` lists such rows.
 
-    ``details=False`` leaves ``changes`` out; strings and binaries of 32 bytes or
-    more then travel as their SHA-256 digests (32 bytes), so that wide text is
-    not shuffled to learn what changed.
+    ``details=False`` leaves ``changes`` out; what has no fixed width then travels
+    as its SHA-256 digest in four whole numbers, so that wide text is not
+    shuffled to learn what changed and every row is aggregated by hash.
 
     ``strategy="union"`` groups both sides in one exchange, after a partial
     aggregation that folds a repeated key where it is read. ``"join"`` groups
@@ -84,27 +84,27 @@ def plan(
         raise ValueError(f"duplicates={duplicates!r}: 'error' or 'last'")
     tidy = _normalizer(normalize)
 
-    def value(name: str) -> Column:
-        kind, column = schema[name].dataType, F.col(name)
-        if isinstance(kind, T.StringType):
-            column = tidy(column)
-        if isinstance(kind, T.MapType):
-            column = F.array_sort(F.map_entries(column))  # maps have no order and no equality
-        if not details and isinstance(kind, (T.StringType, T.BinaryType)):
-            raw = column.cast("binary")
-            column = F.when(F.octet_length(raw) < 32, raw).otherwise(F.unhex(F.sha2(raw, 256)))
-        return column.alias(name)
-
     # What a side carries to its group: with values of fixed width only, each as a
     # column of its own, which Spark aggregates by hash; else one struct, which it
     # sorts, led by the order where rows may repeat so that the last row is the greatest.
-    fixed = duplicates == "error" and all(isinstance(schema[c].dataType, FIXED_WIDTH) for c in compare)
-    if fixed:
-        carried = [value(c).alias(f"__v{n}") for n, c in enumerate(compare)]
-    else:
+    rows = duplicates == "last" or (details and not all(isinstance(schema[c].dataType, FIXED_WIDTH) for c in compare))
+    cells: list[tuple[str, Column]] = []  # each compared column, or what stands for it
+    for c in compare:
+        kind, column = schema[c].dataType, F.col(quoted(c))
+        if isinstance(kind, T.StringType):
+            column = tidy(column)
+        column = canonical(column, kind)
+        if details or isinstance(kind, FIXED_WIDTH):
+            cells.append((c, column))
+        else:
+            cells += [(c, part) for part in digest(as_binary(column, kind))]
+    if rows:
         rank = [F.struct(*order_by).alias("rank")] if duplicates == "last" else []
-        carried = [F.struct(*rank, F.struct(*map(value, compare)).alias("row")).alias("__v")]
-    names = [f"__v{n}" for n in range(len(compare))] if fixed else ["__v"]
+        row = F.struct(*[cell.alias(f"c{n}") for n, (_, cell) in enumerate(cells)])
+        carried, names = [F.struct(*rank, row.alias("row")).alias("__v")], ["__v"]
+    else:
+        carried = [cell.alias(f"__v{n}") for n, (_, cell) in enumerate(cells)]
+        names = [f"__v{n}" for n in range(len(cells))]
 
     def side(df: DataFrame) -> DataFrame:
         return scoped(df, keys, targets, where).select(*keys, *carried)
@@ -128,9 +128,9 @@ def plan(
         raise ValueError(f"strategy={strategy!r}: 'union' or 'join'")
 
     def values(which: str) -> list[Column]:
-        return [F.col(f"__v{n}_{which}" if fixed else f"__v_{which}.row.`{c}`") for n, c in enumerate(compare)]
+        return [F.col(f"__v_{which}.row.c{n}" if rows else f"__v{n}_{which}") for n in range(len(cells))]
 
-    pairs = list(zip(compare, values("old"), values("new")))
+    pairs = list(zip([c for c, _ in cells], values("old"), values("new")))
     differs = functools.reduce(operator.or_, [~was.eqNullSafe(will) for _, was, will in pairs], F.lit(False))
     repeated = (F.col("__n_old") > 1) | (F.col("__n_new") > 1) if duplicates == "error" else F.lit(False)
     operation = _checked(
@@ -166,12 +166,61 @@ def plan(
     return result.select(*keys, "operation", F.when(F.col("operation") == UPDATE, changes).alias("changes"))
 
 
+def quoted(name: str) -> str:
+    """A column by its name, whatever the name holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """The value with every map in it, at any depth, as its entries in order: maps themselves can't be compared."""
+    if not _holds_map(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [canonical(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    entries = F.transform(
+        F.map_entries(value),
+        lambda e: F.struct(canonical(e["key"], kind.keyType).alias("key"), canonical(e["value"], kind.valueType).alias("value")),
+    )
+    return F.array_sort(entries)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def as_binary(value: Column, kind: T.DataType) -> Column:
+    """Bytes that are equal where values are: of text its own, of nested values those of their JSON."""
+    if isinstance(kind, T.BinaryType):
+        return value
+    if isinstance(kind, T.StringType):
+        return value.cast("binary")
+    # Null stays null; a null inside is written, so that it differs from what is not there.
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    exact = {"ignoreNullFields": "false", "timestampFormat": micros + "XXX", "timestampNTZFormat": micros}
+    whole = F.to_json(F.struct(value.alias("v")), exact).cast("binary")
+    return F.when(value.isNotNull(), whole)
+
+
+def digest(value: Column) -> list[Column]:
+    """SHA-256 of a binary column as four longs, null if it is null."""
+    name = F.sha2(value, 256)
+    # 16 hexadecimal digits as a signed number (base -10).
+    return [F.conv(F.substring(name, 16 * n + 1, 16), 16, -10).cast("bigint") for n in range(4)]
+
+
 def unreadable(
     current: DataFrame, desired: DataFrame, keys: list[str], required: list[str], targets=None, where=None
 ) -> DataFrame:
     """``keys, side`` of the rows in scope that lack a required value."""
     targets = None if targets is None else list(targets)
-    lacking = functools.reduce(operator.or_, [F.col(c).isNull() for c in required])
+    lacking = functools.reduce(operator.or_, [F.col(quoted(c)).isNull() for c in required])
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return scoped(df.where(lacking), keys, targets, where).select(*keys, F.lit(name).alias("side"))

@@ -1,3 +1,6 @@
+import datetime
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +160,37 @@ def test_applying_a_plan(sides):
     scoped = apply.reconciled(current, desired, plan.plan(current, desired, KEYS, targets=["a.*"]), KEYS)
     expected = desired.where("d = 'a'").unionByName(current.where("d = 'b'"))
     assert scoped.exceptAll(expected).count() == 0 and expected.exceptAll(scoped).count() == 0
+
+
+def test_digests_are_aggregated_by_hash_and_no_text_moves(spark, tmp_path):
+    for name in ("cur", "des"):
+        spark.range(200).selectExpr("id AS k", f"repeat(id || '{name}', 50) AS t", "array(map('a', id)) AS m").write.parquet(str(tmp_path / name))
+    cur, des = (spark.read.parquet(str(tmp_path / name)) for name in ("cur", "des"))
+    shown = plan.plan(cur, des, ["k"], details=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in shown and "HashAggregate" in shown
+    exchanged = [line for line in shown.splitlines() if "partial_max" in line]
+    assert exchanged and not any(re.search(r"\bt#", line.split("output=")[-1]) for line in exchanged)
+
+
+def test_nested_values(spark):
+    schema = "k int, `a.b` array<struct<m: map<string, map<string, int>>, t: timestamp>>, s struct<`x.y`: map<int, string>>"
+    cur = spark.createDataFrame([
+        (1, [{"m": {"a": {"x": 1, "y": 2}, "b": {}}, "t": None}], ({1: "a", 2: None},)),
+        (2, [{"m": None, "t": None}], None),
+        (3, [{"m": {"a": {"x": None}}, "t": datetime.datetime(2024, 1, 1, 0, 0, 0, 1)}], ({},)),
+        (4, [], (None,)),
+        (5, None, ({1: "a"},)),
+    ], schema)
+    des = spark.createDataFrame([
+        (1, [{"m": {"b": {}, "a": {"y": 2, "x": 1}}, "t": None}], ({2: None, 1: "a"},)),
+        (2, [{"m": {}, "t": None}], None),
+        (3, [{"m": {"a": {"x": None}}, "t": datetime.datetime(2024, 1, 1, 0, 0, 0, 2)}], ({},)),
+        (4, [], None),
+        (5, None, ({1: "b"},)),
+    ], schema)
+    expected = {1: None, 2: ["a.b"], 3: ["a.b"], 4: ["s"], 5: ["s"]}
+    for strategy in ("union", "join"):
+        planned = plan.plan(cur, des, ["k"], include_unchanged=True, strategy=strategy)
+        assert {r.k: r.changes and [c.column_name for c in r.changes] for r in planned.collect()} == expected
+        digests = plan.plan(cur, des, ["k"], details=False, include_unchanged=True, strategy=strategy)
+        assert {r.k: r.operation for r in digests.collect()} == {k: "Update" if v else "NoChange" for k, v in expected.items()}
