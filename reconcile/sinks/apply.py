@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reconcile.plans.plan import CREATE, DELETE, UPDATE, last_rows
 from reconcile.plans.results import summarize
+from reconcile.sources.buckets import BUCKET, Manifest, bucket_of, latest_manifest, read_buckets, replace_buckets
 from reconcile.sources.versions import read_version, write_version
 
 
@@ -71,10 +72,45 @@ def apply_plan(
     write_version(plan, f"{root}/plans")
     staged = read_version(spark, f"{root}/plans")
     summary = summarize(staged).first()
+    _check(summary, approved, max_deletes)
     if summary.no_change:
         return Applied(staged, None)
-    if not approved:
+    return Applied(staged, write_version(reconciled(current, desired, staged, keys, order_by), f"{root}/state", partition_by))
+
+
+def apply_incremental(
+    desired: DataFrame,
+    plan: DataFrame,
+    root: str,
+    approved: bool = False,
+    max_deletes: int | None = None,
+    order_by: list[str] | None = None,
+    base: Manifest | None = None,
+) -> Manifest:
+    """Carry a plan out on a table in buckets (``sources.create_buckets``), rewriting only the buckets that hold its keys.
+
+    The plan, made against version ``base`` (by default the latest), is written down
+    first, as in ``apply_plan``, with the same checks. Readers go on with
+    the old version until the new one is whole. If another writer has meanwhile changed one of these
+    buckets the plan is out of date and nothing is done (``Conflict``); a writer of other buckets is no matter.
+    """
+    spark = plan.sparkSession
+    base = base or latest_manifest(spark, root)
+    if base is None:
+        raise FileNotFoundError(f"no table in buckets: {root}")
+    write_version(plan.withColumn(BUCKET, bucket_of(base)), f"{root}/plans")
+    staged = read_version(spark, f"{root}/plans")
+    _check(summarize(staged).first(), approved, max_deletes)
+    changes = staged.where(F.col("operation").isin(CREATE, UPDATE, DELETE))
+    touched = [row[0] for row in changes.select(BUCKET).distinct().collect()]  # at most one for each bucket
+    if not touched:
+        return base
+    current = read_buckets(spark, root, base, touched)
+    return replace_buckets(reconciled(current, desired, changes.drop(BUCKET), base.keys, order_by), root, base, touched)
+
+
+def _check(summary, approved: bool, max_deletes: int | None) -> None:
+    if not summary.no_change and not approved:
         raise PermissionError(f"{summary.total_changes} changes are not approved")
     if max_deletes is not None and summary.to_destroy > max_deletes:
         raise PermissionError(f"{summary.to_destroy} deletions, {max_deletes} allowed")
-    return Applied(staged, write_version(reconciled(current, desired, staged, keys, order_by), f"{root}/state", partition_by))

@@ -80,20 +80,23 @@ def write_export(
     New keys are added to the latest version, all at once when their job commits.
     Overwriting writes a new version: the snapshot's rows and, of the old
     version, those of other keys.
-    Exporting again after a failure skips what is already there.
+    Exporting again after a failure skips what is already there. Several exports may
+    run at once: of two that end together the second sees that the first has been, and starts again.
     """
     spark = snapshot.sparkSession
     targets = None if targets is None else list(targets)
     snapshot = scoped(snapshot, keys, targets, where)
-    existing = read_version(spark, root, schema=snapshot.schema)
-    totals = {r.status: r.n for r in export_totals(plan_export(snapshot, existing, keys, value, overwrite)).collect()}
-    rows = exported_rows(snapshot, existing, keys, value, overwrite)
     container = keys[:1] if len(keys) > 1 else None
-    if existing is None:
-        write_version(rows, root, container)
-    elif overwrite:
-        others = existing.join(rows.select(*keys), keys, "left_anti").select(*snapshot.columns)
-        write_version(others.unionByName(rows), root, container)
-    elif totals.get(EXPORTED):
-        append_version(rows, root, latest_version(spark, root), container)
-    return totals
+    while True:
+        existing = read_version(spark, root, schema=snapshot.schema)
+        version = None if existing is None else latest_version(spark, root)
+        totals = {r.status: r.n for r in export_totals(plan_export(snapshot, existing, keys, value, overwrite)).collect()}
+        rows = exported_rows(snapshot, existing, keys, value, overwrite)
+        if existing is None or overwrite:
+            others = existing and existing.join(rows.select(*keys), keys, "left_anti").select(*snapshot.columns)
+            done = write_version(rows if others is None else others.unionByName(rows), root, container)
+        else:
+            done = not totals.get(EXPORTED) or append_version(rows, root, version, container)
+        if done:
+            return totals
+        # Another export was first: what it has put there is skipped now.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -19,6 +21,42 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def names_in(spark: SparkSession, directory: str) -> list[str]:
+    """Names of what a directory holds; nothing if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def rename_if_absent(spark: SparkSession, source: str, target: str, text: str | None = None) -> bool:
+    """Give ``source`` the name ``target``, or say False if that is taken. With ``text``, source is first written with it.
+
+    On HDFS and local disks a rename is one step; of two writers one is told. An
+    object store needs a committer that has such a step.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    configuration = spark._jsc.hadoopConfiguration()
+    fs = old.getFileSystem(configuration)
+    if text is not None:
+        stream = fs.create(old, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+    fs.mkdirs(new.getParent())
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), configuration).rename(fs.makeQualified(old), fs.makeQualified(new), options)
+        return True
+    except Py4JJavaError as error:
+        taken = error.java_exception.getClass().getSimpleName() in ("FileAlreadyExistsException", "IOException")
+        if not (taken and fs.exists(new)):
+            raise
+        fs.delete(old, True)
+        return False
+
+
 def _versions(spark: SparkSession, pattern: str, part: str = "version") -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
@@ -50,14 +88,19 @@ def read_version(
     return df
 
 
-def append_version(df: DataFrame, root: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Add ``df`` to a version and return the path: a directory beside it, which counts once its own job has committed."""
-    more = f"{root}/added-to={version}"
-    path = f"{more}/part={max(_versions(df.sparkSession, f'{more}/part=*', 'part'), default=-1) + 1}"
+def append_version(df: DataFrame, root: str, version: int, partition_by: list[str] | None = None) -> str | None:
+    """Add ``df`` to a version: a directory beside it, which gets its name when it is complete.
+
+    Gives the path, or None if another writer was first since ``df`` was read: the
+    name is the number that follows those which were there. Decide anew then what is missing.
+    """
+    spark, more = df.sparkSession, f"{root}/added-to={version}"
+    path = f"{more}/part={max(_versions(spark, f'{more}/part=*', 'part'), default=-1) + 1}"
+    unnamed = f"{root}/.unnamed-{uuid.uuid4().hex}"
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    df.write.mode("error").parquet(path, partitionBy=partition_by)
-    return path
+    df.write.mode("error").parquet(unnamed, partitionBy=partition_by)
+    return path if rename_if_absent(spark, unnamed, path) and latest_version(spark, root) == version else None
 
 
 def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reconcile import apply, export, plan, sources
+from reconcile.sources import buckets, versions
 
 KEYS = ["database_name", "table_name"]
 SCHEMA = "database_name string, table_name string, content string"
@@ -140,3 +141,82 @@ def test_what_is_added_counts_when_committed(spark, tmp_path):
     assert rows(sources.read_version(spark, root)) == {("s", "a", "1"), ("s", "b", "1")}
     (added / "_SUCCESS").unlink()
     assert rows(sources.read_version(spark, root)) == {("s", "a", "1")}
+
+
+def test_a_few_changes_rewrite_a_few_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    current = spark.range(150_000).selectExpr("id AS k", "CAST(id % 7 AS string) AS v")
+    changed = spark.range(7, 150_000, 15_000).selectExpr("CAST(id AS int) AS k", "IF(id < 20000, NULL, 'new') AS v")
+    before = sources.create_buckets(current, root, ["k"], buckets=64)
+    files = {p for p in (tmp_path / "files").rglob("*.parquet")}
+    # Two keys go, eight change, one comes; the plan's keys are of a narrower type than the table's.
+    operations = F.expr("CASE WHEN v IS NULL THEN 'Delete' ELSE 'Update' END AS operation")
+    desired = changed.where("v IS NOT NULL").union(spark.createDataFrame([(-1, "first")], "k int, v string"))
+    planned = changed.select("k", operations).union(spark.createDataFrame([(-1, "Create")], "k int, operation string"))
+    with pytest.raises(PermissionError, match="11 changes are not approved"):
+        apply.apply_incremental(desired, planned, root)
+    with pytest.raises(PermissionError, match="2 deletions, 1 allowed"):
+        apply.apply_incremental(desired, planned, root, approved=True, max_deletes=1)
+    after = apply.apply_incremental(desired, planned, root, approved=True)
+    moved = [b for b in range(64) if before.held.get(b) != after.held.get(b)]
+    assert 1 < len(moved) <= 11 and after.version == 1
+    # No file of the old version has gone, and only the touched buckets have new ones.
+    new = {p for p in (tmp_path / "files").rglob("*.parquet")} - files
+    assert files <= {p for p in (tmp_path / "files").rglob("*.parquet")} and {p.parent.name for p in new} <= {f"bucket={b}" for b in moved}
+    state = {r.k: r.v for r in sources.read_buckets(spark, root).collect()}
+    gone = {7, 15_007}
+    assert state == {n: "new" if n % 15_000 == 7 else str(n % 7) for n in range(150_000) if n not in gone} | {-1: "first"}
+    assert sources.read_buckets(spark, root, before).count() == 150_000
+
+
+def test_a_failed_job_leaves_the_manifest(spark, tmp_path):
+    root = str(tmp_path)
+    current = spark.range(100).selectExpr("id AS k", "'a' AS v")
+    sources.create_buckets(current, root, ["k"], buckets=4)
+    planned = current.where("k < 50").select("k", F.lit("Update").alias("operation"))
+    broken = current.withColumn("v", F.when(F.col("k") == 49, F.raise_error(F.lit("lost"))).otherwise(F.lit("b")))
+    with pytest.raises(Exception, match="lost"):
+        apply.apply_incremental(broken, planned, root, approved=True)
+    assert sources.latest_manifest(spark, root).version == 0
+    assert {r.v for r in sources.read_buckets(spark, root).collect()} == {"a"}
+
+
+def test_two_writers_of_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    current = spark.range(1000).selectExpr("id AS k", "'a' AS v")
+    base = sources.create_buckets(current, root, ["k"], buckets=32)
+    keys = {r.b: r.k for r in current.groupBy(buckets.bucket_of(base).alias("b")).agg(F.min("k").alias("k")).collect()}
+    first, second = sorted(keys.values())[:2]
+
+    def change(key, value):
+        desired = spark.createDataFrame([(key, value)], "k long, v string")
+        return apply.apply_incremental(desired, desired.select("k", F.lit("Update").alias("operation")), root, approved=True, base=base)
+
+    assert change(first, "one").version == 1
+    assert change(second, "two").version == 2  # on top of the first, which left its bucket alone
+    with pytest.raises(sources.Conflict):
+        change(first, "three")
+    state = {r.k: r.v for r in sources.read_buckets(spark, root).collect()}
+    assert state[first] == "one" and state[second] == "two" and len(state) == 1000
+    with pytest.raises(sources.Conflict):
+        sources.create_buckets(current, root, ["k"])
+
+
+def test_overlapping_exports_give_every_key_once(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    frame = lambda *names: spark.createDataFrame([("s", n, "x") for n in names], SCHEMA)
+    export.write_export(frame("a"), root, KEYS, "content")
+    rename, others = versions.rename_if_absent, [frame("b", "c"), frame("c", "d")]
+
+    def late(*arguments):
+        # While one export is about to end, another one starts and ends.
+        if others:
+            export.write_export(others.pop(), root, KEYS, "content")
+        return rename(*arguments)
+
+    monkeypatch.setattr(versions, "rename_if_absent", late)
+    totals = export.write_export(frame("a", "b", "c", "d", "e"), root, KEYS, "content")
+    assert totals == {"skipped": 4, "exported": 1}
+    found = sorted(r.table_name for r in sources.read_version(spark, root).collect())
+    assert found == ["a", "b", "c", "d", "e"]
+    assert not list(tmp_path.glob(".unnamed-*"))
