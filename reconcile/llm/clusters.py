@@ -92,14 +92,15 @@ def _chunk(batches: list[pa.RecordBatch], dims: int) -> pa.RecordBatch:
     matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
     blocks = [_coded(matrix[:, [d]]) for d in range(dims)]
     most = len(matrix) // SHARE
-    while len(blocks) > 1:
+    while True:
         joined = []
         for left, right in zip(blocks[::2], blocks[1::2]):
             both = _joined(left, right, most)
             joined += [both] if both else [left, right]
+        joined += blocks[len(blocks) // 2 * 2 :]
         if len(joined) == len(blocks):
             break
-        blocks = joined + blocks[len(blocks) // 2 * 2 :]
+        blocks = joined
     widths = [entries.shape[1] for entries, _ in blocks]
     columns = [widths, [e.astype(np.int32).tobytes() for e, _ in blocks], [_narrow(c).tobytes() for _, c in blocks]]
     kinds = [pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]

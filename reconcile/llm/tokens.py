@@ -73,8 +73,10 @@ class Words:
 def sequence_hash(columns: list[np.ndarray]) -> np.ndarray:
     """A hash of each row of word hashes, given by position; order and length count."""
     total = np.uint64(len(columns))
-    for i, column in enumerate(columns):
-        total = total + column * np.uint64((2 * i + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF | 1)
+    # Factors without a relation among them: with multiples of one, words that change places two by two would cancel.
+    factors = mix(np.arange(1, len(columns) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+    for column, factor in zip(columns, factors):
+        total = total + column * factor
     return mix(np.asarray(total, np.uint64))
 
 

@@ -13,6 +13,9 @@ COLUMNS = {
     "op5_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op6_nearest_neighbours": {"query_id", "rank", "vec_id", "score"},
     "op7_language_id": {"doc_id", "held_out", "lang_pred", "score"}, "op9_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op10_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+    "op11_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op12_centroid_clustering": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+    "op13_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
 }
 
 
