@@ -7,11 +7,14 @@ have other values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalogue import query, table, work_folder
 from reconcile import apply, drift, export, plan, results
-from reconcile.sources import create_buckets, read_buckets, read_version
+from reconcile.sources import create_buckets, read_buckets, read_by_day, read_version, write_bucketed, write_by_day
+from reconcile.sources.layouts import DAY
 
 NEW_KEY = "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN -1 - o_orderkey ELSE o_orderkey END"
 NEW_STATUS = "CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END"
@@ -62,6 +65,33 @@ def plan_orders_by_digest(spark, sf_dir):
     return plan.plan(*_orders(spark, sf_dir), ["k"], details=False)
 
 
+@query(f"{PLANNED} SELECT k, operation, {CHANGED} FROM planned")
+def plan_orders_bucketed(spark, sf_dir):
+    """Both sides as tables bucketed by the key: no exchange at all."""
+    tables = [
+        write_bucketed(df, f"snapshot_{uuid.uuid4().hex}", f"{work_folder(spark)}/{side}", ["k"], 8)
+        for side, df in zip(("current", "desired"), _orders(spark, sf_dir))
+    ]
+    return _changed_columns(plan.plan(*tables, ["k"], include_unchanged=True, strategy="join"), "k")
+
+
+# Files from before a column was added: what they hold of it is null.
+OLDER = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
+
+
+@query(f"""WITH {CUR.replace("o_orderpriority AS pr", f"CASE WHEN {OLDER} THEN NULL ELSE o_orderpriority END AS pr")}, {DES}, {MATCHED}
+SELECT k, operation FROM planned WHERE operation <> 'NoChange' AND k > 0""")
+def plan_orc(spark, sf_dir):
+    """ORC files of two schemas, the scope pushed down to them."""
+    (current, desired), root = _orders(spark, sf_dir), work_folder(spark)
+    older = "st = 'F' AND pr = '1-URGENT'"
+    current.where(older).drop("pr").write.orc(f"{root}/older")
+    current.where(f"NOT ({older})").write.orc(f"{root}/newer")
+    desired.write.orc(f"{root}/desired")
+    read = [spark.read.schema(desired.schema).orc([f"{root}/{p}" for p in parts]) for parts in (("older", "newer"), ("desired",))]
+    return plan.plan(*read, ["k"], where=lambda k: k > 0, details=False)
+
+
 @query(f"""{PLANNED}, s AS (SELECT count(*) FILTER (operation = 'Create') AS to_add,
   count(*) FILTER (operation = 'Update') AS to_change, count(*) FILTER (operation = 'Delete') AS to_destroy FROM planned)
 SELECT *, to_add + to_change + to_destroy = 0 AS no_change, to_add + to_change + to_destroy > 0 AS has_changes,
@@ -412,3 +442,18 @@ def partition_read(spark, sf_dir):
         "event_id", "user_id", "event_type", F.date_format(day, "yyyy").alias("year"),
         F.date_format(day, "MM").alias("month"), F.date_format(day, "dd").alias("day"),
     )
+
+
+LOUD_DAYS = "event_type = 'purchase' AND value > 99"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, event_type, value FROM events)
+SELECT event_id, user_id, year, month, day FROM e
+WHERE (year, month, day) IN (SELECT (year, month, day) FROM e WHERE {LOUD_DAYS}) AND year = '2024'""")
+def partition_read_joined(spark, sf_dir):
+    """All events of the days that a small table names: only the directories of those days are read."""
+    events, path = table(spark, sf_dir, "events").drop("props"), f"{work_folder(spark)}/events"
+    write_by_day(events, F.col("ts"), path)
+    by_day = read_by_day(spark, path, events.schema)
+    days = events.where(LOUD_DAYS).select(*[F.date_format("ts", form).alias(name) for name, form in zip(DAY, ("yyyy", "MM", "dd"))]).distinct()
+    return by_day.where("year = '2024'").join(days, DAY).select("event_id", "user_id", *DAY)
