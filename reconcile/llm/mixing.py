@@ -4,9 +4,10 @@ The words of all sources are dealt out in slots of equal length. Slot i falls at
 the golden-ratio point frac(i / phi) of the targets laid end to end, so every
 stretch of the schedule holds each source in its proportion. The slots of a
 source are ranked; rank r takes block r of the source's words, its documents in
-an order shuffled by a hash, read round and round. A source's last block is cut
-where its target is reached; a source that the points gave too few slots gets
-the missing ones at the end.
+an order shuffled by a hash, read round and round. The mix ends with the slot that
+fills the targets: what it takes of a source is the blocks that its points have drawn
+by then, so a source comes as near its target as the points are even. Only where a
+source has no more to give are its slots void.
 """
 
 from __future__ import annotations
@@ -65,9 +66,8 @@ def _plan(sources: DataFrame, slots: int, block_words: int, most: int) -> DataFr
     block = F.least(F.greatest(F.ceil(total / F.lit(slots)), F.lit(1)), F.lit(block_words)).cast("long")
     return (
         sources.withColumn("block", block)
-        .withColumn("take", F.least(F.round("target").cast("long"), F.col("source_size") * most))
-        .withColumn("ranks", F.ceil(F.col("take") / F.col("block")))
-        .withColumn("all_slots", F.ceil(F.sum("take").over(everything) / F.col("block")))
+        .withColumn("ranks", F.ceil(F.col("source_size") * most / F.col("block")))
+        .withColumn("all_slots", F.ceil(F.sum("target").over(everything) / F.col("block")))
         .withColumn("high", F.sum("target").over(along) / F.sum("target").over(everything))
         .withColumn("low", F.coalesce(F.lag("high").over(everything.orderBy("sid")), F.lit(0.0)))
         .withColumn("high", F.when(F.lead("sid").over(everything.orderBy("sid")).isNull(), 2.0).otherwise(F.col("high")))
@@ -77,8 +77,7 @@ def _plan(sources: DataFrame, slots: int, block_words: int, most: int) -> DataFr
 def schedule(spark: SparkSession, plan: DataFrame) -> DataFrame:
     """slot, sid, rank: which block of which source each slot of the mix takes.
 
-    Slots past a source's last block are void; the blocks that the points left
-    out follow after the last slot.
+    Slots past a source's last block are void.
     """
     (last,) = plan.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()  # one number
     point = F.col("id") * F.lit(GOLDEN)
@@ -94,23 +93,24 @@ def schedule(spark: SparkSession, plan: DataFrame) -> DataFrame:
     starts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = drawn.withColumn("inside", inside).join(starts, ["sid", "chunk"])
-    ranked = ranked.select("slot", "sid", (F.col("start") + F.col("inside")).alias("rank"), "ranks").where("rank < ranks").drop("ranks")
-    reached = counts.groupBy("sid").agg(F.sum("n").alias("got"))
-    missing = plan.join(reached, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < ranks")
-    rest = missing.select(F.lit(last).alias("slot"), "sid", F.explode(F.sequence("got", F.col("ranks") - 1)).alias("rank"))
-    return ranked.unionByName(rest)
+    return ranked.select("slot", "sid", (F.col("start") + F.col("inside")).alias("rank"), "ranks").where("rank < ranks").drop("ranks")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, slots: int = SLOTS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken, slots of every row of docs (doc_id, text, source).
 
-    ``taken`` counts the words that the mix takes of the row, repeats counted:
-    at most ``most`` times its size. A row without words takes none. Repeated
+    ``taken`` counts the words of the row in the blocks that the schedule's slots
+    drew, repeats counted: at most ``most`` times its size. ``slots`` holds, for each time that the
+    mix comes to the row, the slot where it does, in order. A row without words takes none. Repeated
     rows count as different documents, a null source is a source of its own, an
     empty table gives an empty result; other columns are ignored.
     """
     sized = cut(docs.select("doc_id", "source", word_count("text").alias("size")))  # the texts are read once
-    plan = _plan(source_targets(sized, weights, most), slots, block_words, most)
+    plan = cut(_plan(source_targets(sized, weights, most), slots, block_words, most))
+    drawn = cut(schedule(docs.sparkSession, plan))
+    got = drawn.groupBy("sid").agg(F.count("*").alias("got"))
+    taken_of_source = F.least(F.coalesce("got", F.lit(0)) * F.col("block"), F.col("source_size") * most)
+    plan = plan.join(got, "sid", "left").withColumn("take", taken_of_source)
     order = F.xxhash64(F.lit("mix"), "doc_id", "size")
     chunk = F.shiftrightunsigned(order, 64 - CHUNKS.bit_length() + 1)
     dealt = sized.withColumn("order", order).withColumn("chunk", chunk)
@@ -129,25 +129,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, slots: int =
     stretch = stretch.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("take")))
     first, final = F.floor(F.col("from") / F.col("block")), F.floor((F.col("to") - 1) / F.col("block"))
     pieces = stretch.withColumn("rank", F.explode_outer(F.when(F.col("turn").isNotNull(), F.sequence(first, final))))
-    slots_taken = schedule(docs.sparkSession, plan)
     overlap = F.least("to", (F.col("rank") + 1) * F.col("block")) - F.greatest("from", F.col("rank") * F.col("block"))
-    joined = pieces.join(slots_taken, ["sid", "rank"], "left")
-    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), overlap)), F.lit(0)).alias("taken")
+    joined = pieces.join(drawn, ["sid", "rank"], "left")
     one = ["doc_id", "source", "size", "source_size", "target", "sid", "chunk", "nth"]
-    return joined.groupBy(*one).agg(taken).select("doc_id", "source", "size", "source_size", "target", "taken")
+    # Within a turn first, then over the at most ``most`` turns.
+    turns = joined.groupBy(*one, "turn").agg(F.sum(F.when(F.col("slot").isNotNull(), overlap)).alias("words"), F.min("slot").alias("slot"))
+    taken, at = F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.array_sort(F.collect_list("slot")).alias("slots")
+    return turns.groupBy(*one).agg(taken, at).select("doc_id", "source", "size", "source_size", "target", "taken", "slots")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """docs, columns unchanged, each row as often as the mix takes it.
+    """docs, columns unchanged, each row as often as the mix takes it, in the order of the schedule.
 
     That is its words taken over its size, rounded (halves up): rows of an
-    over-full source may go, those of a source below its target repeat.
+    over-full source may go, those of a source below its target repeat. A repeat stands where the
+    schedule comes to the row again.
     """
     key = F.xxhash64("doc_id", "text", "source")
     taken = mix(docs.select(key.alias("doc_id"), "text", "source"), weights, most).groupBy(F.col("doc_id").alias("_row"))
     # Equal rows share what they are given.
-    taken = taken.agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("size > 0")
+    taken = taken.agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("slots").alias("_slots")).where("size > 0")
     times = F.expr("cast((2 * taken + size) div (2 * size) as int)")
-    taken = cut(taken.select("_row", times.alias("_times")).where("_times > 0"))
+    taken = cut(taken.select("_row", "_slots", times.alias("_times")).where("_times > 0"))
     joined = docs.join(few(taken), key == F.col("_row"))
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times", "_time")
+    time = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    repeated = joined.withColumn("_time", time).withColumn("_slot", F.col("_slots")[F.least("_time", F.size("_slots")) - 1])
+    return repeated.sort("_slot", "_row", "_time").drop("_row", "_times", "_time", "_slot", "_slots")

@@ -179,6 +179,46 @@ def test_urls_of_marks(spark):
     assert all(found[i]["words"] == (["a"] if h == "a" else []) and found[i]["verdict"] == "allow" for i, h in enumerate(hosts))
 
 
+def test_long_hosts(spark):
+    """A host of 40,000 letters is cut like any other, beside one that holds known words."""
+    long = "cheapfarm" * 4000 + "q" * 4000
+    pages = spark.createDataFrame([(1, f"http://{long}.org/cheap", "<title>cheap farm</title>"), (2, "http://cheapfarm.org/farm", None)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["words"] for r in urls.filter_urls(pages).collect()}
+    assert found[1][:8000] == ["cheap", "farm"] * 4000 and found[2][:2] == ["cheap", "farm"]
+    assert "".join(found[1]) == long + "org"
+
+
+def test_segmentation_against_brute_force(spark):
+    """The best of all ways to cut each label."""
+    draw = random.Random(9)
+    counts = {"".join(draw.choice("ab") for _ in range(draw.randint(1, 4))): draw.randint(1, 50) for _ in range(12)}
+    total = sum(counts.values())
+    score = lambda w: log2(counts[w] / total) if w in counts else log2(10 / total) - len(w) * log2(10)
+    labels = list({"".join(draw.choice("abc") for _ in range(draw.randint(1, 9))) for _ in range(60)})
+    found = urls.segment(spark.createDataFrame([(w,) for w in labels], "label string"), spark.createDataFrame(list(counts.items()), "word string, n long"), 5)
+    found = {r["label"]: r["words"] for r in found.collect()}
+    for label in labels:
+        ways = [[label[a:b] for a, b in zip((0, *at), (*at, len(label)))] for k in range(len(label)) for at in combinations(range(1, len(label)), k)]
+        best = max(sum(map(score, way)) for way in ways if max(map(len, way)) <= 5)
+        assert "".join(found[label]) == label and sum(map(score, found[label])) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<ol start="--5"><li>a</ol>', "1. a"), (f'<ol start="{"9" * 5000}"><li>a</ol>', "1. a"), ('<ol start=" -5 "><li>a<li>b</ol>', "-5. a\n-4. b"),
+    ('<p style="backface-visibility:hidden">a</p>', "a"), ('<p style="color:red; display : none">a</p>b', "b"), ('<p style="visibility:hidden-x">a</p>', "a"),
+    ('<input type=email value="a@b"><input type=hidden value=c><input type=" Date " value=2024>', "a@b 2024"),
+])
+def test_odd_attributes(html, text):
+    assert page_text.extract(html).split() == text.split()
+
+
+def test_no_page_ends_the_job():
+    draw = random.Random(11)
+    bits = ["<", ">", "</", "/>", "<!--", "-->", "&#x110000;", "&amp", '"', "'", "=", "ol start=", "table", "td colspan=99999", "tr", "li", "svg", "math", "select", "option", "\0", "p", " ", "x", "-9", "é", "rowspan='-1'", "style=", "template"]
+    for _ in range(5000):
+        assert isinstance(page_text.extract("".join(draw.choice(bits) for _ in range(draw.randrange(40)))), str)
+
+
 def test_shards(spark, rows):
     found = sharding.shard(make_docs(spark, rows), 7).collect()
     counts = Counter(r["shard"] for r in found)
@@ -342,11 +382,36 @@ def test_mixing(spark, rows):
         assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
-    assert Counter(map(tuple, mixing.mix(make_docs(spark, rows)).collect())) == Counter(map(tuple, found))
-    mixed = mixing.mixed_documents(make_docs(spark, rows))
-    assert mixed.columns == make_docs(spark, rows).columns
-    assert mixing.mix(make_docs(spark, [])).count() == 0
+    # Blocks are of one word here; what the golden ratio's points have drawn is never many blocks from even.
+    assert all(abs(taken[s] - target[s]) <= 8 for s in order)
+    key = lambda r: (r["doc_id"], r["source"], r["size"], r["taken"], *r["slots"])
+    assert Counter(map(key, mixing.mix(make_docs(spark, rows)).collect())) == Counter(map(key, found))
+    # Half of the schedule holds half of each source's words: the rows that have begun by then, but for the last of them.
+    middle = sum(target.values()) / 2
+    for s in order:
+        begun = sum(r["size"] for r in found if r["source"] == s for slot in r["slots"] if slot < middle)
+        longest = max(r["size"] for r in found if r["source"] == s)
+        assert -8 <= begun - target[s] / 2 <= longest + 8
+    docs = make_docs(spark, rows)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert sum(times.values()) and all(n <= 3 * sum(r[0] == d for r in rows) for d, n in times.items())
+    # A row comes no earlier than the one before it in the schedule.
+    name = F.xxhash64("doc_id", "text", "source")
+    slots = {r["doc_id"]: r["slots"] for r in mixing.mix(docs.select(name.alias("doc_id"), "text", "source")).collect()}
+    came = list(dict.fromkeys(r[0] for r in mixed.select(name).collect()))
+    assert [slots[n][0] for n in came] == sorted(slots[n][0] for n in came)
+    assert mixing.mix(make_docs(spark, [])).count() == 0 and mixing.mixed_documents(make_docs(spark, [])).count() == 0
+
+
+def test_the_mix_comes_from_its_points(spark, rows, monkeypatch):
+    """Other points, another mix: with all of them in one place only the first source is drawn."""
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0)
+    taken = Counter()
+    for r in mixing.mix(make_docs(spark, rows)).collect():
+        taken[r["source"]] += r["taken"]
+    assert taken["a"] and not taken["b"] and not taken[None]
 
 
 def test_schedule_is_even(spark):
