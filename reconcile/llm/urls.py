@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reconcile.llm.storage import salted_lookup
@@ -28,6 +29,8 @@ RULES = (
 )
 #: Hash buckets of tokens; longest word that can be cut from a label.
 BUCKETS, LONGEST = 1 << 16, 20
+#: Pieces of labels that a task gives out at once.
+PIECES = 50_000
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
@@ -61,24 +64,50 @@ def unigrams(pages: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _viterbi(labels: pd.Series, edges: pd.Series) -> pd.Series:
-    def cut(label: str, found) -> list[str]:
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(len(label) + 1)]
-        for edge in found:
-            ends[edge["stop"]].append((edge["start"], edge["score"]))
-        best, back = [0.0] + [-np.inf] * len(label), [0] * (len(label) + 1)
+def _pieces(longest: int):
+    """key, label -> key, start, stop, word: every piece of a label of at most ``longest`` characters, some thousand at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "start", "stop", "word"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, label in zip(*(column.to_pylist() for column in batch.columns)):
+                for start in range(len(label)):
+                    rows += [(key, start, stop, label[start:stop]) for stop in range(start + 1, min(start + longest, len(label)) + 1)]
+                    if len(rows) > PIECES:
+                        yield given(rows)
+                        rows = []
+            if rows:
+                yield given(rows)
+
+    return run
+
+
+def _viterbi(all_words: int, longest: int):
+    def cut(label: str, known) -> list[str]:
+        score = {(piece["start"], piece["stop"]): np.log(piece["n"] / all_words) for piece in known}
+        unknown = [np.log(10.0 / all_words) - np.log(10.0) * size for size in range(longest + 1)]
+        best, back = [0.0], [0]
         for stop in range(1, len(label) + 1):
-            for start, score in ends[stop]:
-                if best[start] + score > best[stop]:
-                    best[stop], back[stop] = best[start] + score, start
+            # Of equal cuts the one with the longest last word.
+            found = ((best[start] + score.get((start, stop), unknown[stop - start]), -start) for start in range(max(0, stop - longest), stop))
+            most, start = max(found)
+            best.append(most)
+            back.append(-start)
         words, stop = [], len(label)
         while stop:
             words.append(label[back[stop] : stop])
             stop = back[stop]
         return words[::-1]
 
-    return pd.Series([cut(label, found) for label, found in zip(labels, edges)])
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(labels: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([cut(label, () if pieces is None else pieces) for label, pieces in zip(labels, known)])
+
+    return run
 
 
 def segment(labels: DataFrame, counts: DataFrame, longest: int = LONGEST) -> DataFrame:
@@ -86,18 +115,14 @@ def segment(labels: DataFrame, counts: DataFrame, longest: int = LONGEST) -> Dat
 
     The word with n of N counts scores ln(n / N); an unknown one of c characters
     ln(10 / (N 10^c)), so that known words win. Words have ``longest`` characters at most.
+    What is gathered for a label is its known pieces, so a label may be very long.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")).withColumn("all", F.greatest("all", F.lit(1)))
     (all_words,) = total.first()  # one number
-    starts = labels.select("label", F.posexplode(F.split("label", "")).alias("start", "_")).where("start < length(label)")
-    stops = F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.length("label")))
-    pieces = starts.withColumn("stop", F.explode(stops))
-    pieces = pieces.withColumn("word", F.col("label").substr(F.col("start") + 1, F.col("stop") - F.col("start")))
-    known = pieces.join(counts, "word", "left")
-    unknown = F.log(F.lit(10.0 / all_words)) - F.log(F.lit(10.0)) * F.length("word")
-    score = F.when(F.col("n").isNull(), unknown).otherwise(F.log(F.col("n") / all_words))
-    edges = known.groupBy("label").agg(F.collect_list(F.struct("start", "stop", score.alias("score"))).alias("edges"))
-    return edges.select("label", _viterbi("label", "edges").alias("words"))
+    named = labels.select(F.sha2("label", 256).alias("key"), "label")
+    pieces = named.mapInArrow(_pieces(longest), "key string, start int, stop int, word string")
+    known = pieces.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "n")).alias("known"))
+    return named.join(known, "key", "left").select("label", _viterbi(all_words, longest)("label", "known").alias("words"))
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
