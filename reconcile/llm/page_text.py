@@ -15,7 +15,11 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _IN_VALUE = re.compile(r"=\s*[^\s\"'>]+/$")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
+#: What the start of a list may be; anything else counts as 1.
+_START = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
+#: Inputs that don't show their value as text.
+_NO_TEXT = {"hidden", "password", "checkbox", "radio", "file", "image", "color", "range"}
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -343,7 +347,7 @@ def render(root: Node, depth: int = 0) -> str:
                 page.text(f" {unescape(alt)} ", False)
             continue
         if tag == "input":
-            if node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search"):
+            if node.attributes.get("type", "text").strip().lower() not in _NO_TEXT:
                 page.text(f" {unescape(node.attributes.get('value', ''))} ", False)
             continue
         if tag == "select":
@@ -364,8 +368,8 @@ def render(root: Node, depth: int = 0) -> str:
             page.block(True)
             continue
         if tag in ("ul", "ol", "menu", "dir"):
-            start = node.attributes.get("start", "1")
-            numbers.append(int(start) if tag == "ol" and start.lstrip("-").isdecimal() else 1 if tag == "ol" else None)
+            start = _START.match(node.attributes.get("start", "1"))
+            numbers.append((int(start[1]) if start else 1) if tag == "ol" else None)
         elif tag == "li":
             number = numbers[-1] if numbers else None
             page.marker = "- " if number is None else f"{number}. "
