@@ -206,7 +206,7 @@ class Grams:
         outer[:, 1:] = ends[:, 1:] > furthest[:, :-1]
         # Sums of hashes of grams with their places, from the start and from the end.
         place = np.arange(n - 1, dtype=np.uint64)
-        name = gram_at.astype(np.uint64) * np.uint64(1 << 20)
+        name = (gram_at + 1).astype(np.uint64) * np.uint64(1 << 20)
         front = np.where(outer, mix(name + place), np.uint64(0))
         back = np.where(outer, mix(~(name + np.uint64(n) - place)), np.uint64(0))
         front = np.hstack([np.zeros((rows, 1), np.uint64), np.cumsum(front, axis=1)])
