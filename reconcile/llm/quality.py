@@ -191,7 +191,7 @@ def judge_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", by:
     estimates = robust_estimates(good, spread)
     known = estimates.select("g", "mean", "inverse", "reach")
     judged = _met(levelled.withColumn("spread", spread), known, "left")
-    distance = F.sqrt(_squared(len(NAMES)))
+    distance = F.when(F.col("mean").isNotNull(), F.sqrt(_squared(len(NAMES))))
     fits = F.coalesce(distance <= far * F.col("reach"), F.lit(True))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select(F.col("id").alias(id), *counts, "base_failed", (~F.col("base_failed") & fits).alias("kept"), "level", distance.alias("distance"), "reach")
