@@ -11,9 +11,10 @@ A single tree over everything can't do it: unrelated documents have nearly
 equal hashed counts, so boxes of unrelated points overlap everywhere and the work
 is quadratic. The root is therefore a table of exact cells. Two sets that link
 differ in at most D shingles, where D follows from the size; cut into more than D
-groups by hash, at least one group is equal in both. Documents are joined on such
-equal groups, and only sets connected that way share a tree. Trees of the vectors
-alone part these cells further, before any shingle is moved. No link is lost.
+groups by hash, at least one group is equal in both. The sets of an equal group are
+a cell with a tree of its own; nothing is connected before the vectors allow it, since
+passages that unrelated documents share would chain most of a corpus. Only what the trees
+of the vectors leave connected is verified, and only then are shingles moved. No link is lost.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def _marks(words: int, least: int):
                 head_of = np.repeat(heads, np.diff(np.append(heads, len(key))))
                 under = owner[head_of]
                 lone = head_of == np.arange(len(key))
-                key = np.where(lone, key, mix(key.view(np.uint64) ^ owner.view(np.uint64)).view(np.int64))
+                key = np.where(lone, key, key ^ owner)  # so that a hot key is dealt out; its set gives it back
                 rows = end - start
                 names = np.asarray(names, np.int64)
                 yield pa.record_batch([
@@ -295,6 +296,15 @@ def _by_cell(rows: DataFrame, *values: str) -> DataFrame:
     return rows.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
 
 
+def _by_key(edges: DataFrame) -> DataFrame:
+    """set, cell: the sets of each key of edges (a, b, key); keys of the same sets are one cell."""
+    members = cut(edges.select("key", F.explode(F.array("a", "b")).alias("set")).distinct())
+    digests = F.bit_xor(F.xxhash64("set")), F.bit_xor(F.xxhash64("set", F.lit(1)))
+    keys = members.groupBy("key").agg(F.count("*").alias("m"), *(x.alias(f"x{i}") for i, x in enumerate(digests)))
+    keys = keys.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    return members.join(keys, "key", "left_semi").select("set", F.col("key").alias("cell"))
+
+
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,27 +340,25 @@ def ngram_join(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataF
     in_key = Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     under = F.when(F.col("n") < 0, F.coalesce("other", F.min("set").over(in_key)))
     found = marks.withColumn("under", under).where("n >= 0 OR set <> under")
-    found = cut(found.select("set", "under", "n", F.when(F.col("n") >= 0, F.col("other")).alias("doc_id"), "counts"))
+    doc_id, true_key = F.when(F.col("n") >= 0, F.col("other")), F.when(F.col("other").isNull(), F.col("key")).otherwise(F.expr("key ^ set"))
+    found = cut(found.select("set", "under", "n", doc_id.alias("doc_id"), F.when(F.col("n") < 0, true_key).alias("key"), "counts"))
 
     members = found.where("n >= 0").groupBy("doc_id", "set", "n").agg(F.count("*").alias("times"))
     sets = members.groupBy("set").agg(F.min("doc_id").alias("first"), F.sum("times").alias("copies"), F.max("n").alias("n"))
-    edges = found.where("n < 0").select(F.col("set").alias("a"), F.col("under").alias("b"))
+    edges = found.where("n < 0").select(F.col("set").alias("a"), F.col("under").alias("b"), "key")
     sets = cut(sets)
-    links = None
-    # First the trees of each cell alone, then, for what they leave, with the shingles.
-    for by_shingles in (False, True):
-        cells = connected_components(edges).select(F.col("node").alias("set"), F.col("component").alias("cell"))
-        points = cut(sets.join(cells, "set").select("set", "cell", "first", "copies", "n"))
-        parts = F.sum("n") / PART if by_shingles else F.count("*") / POINTS
-        points = points.join(points.groupBy("cell").agg(F.ceil(parts).cast("int").alias("parts")), "cell")
-        if not by_shingles:
-            vectors = found.where("n > 0").join(points.select("set"), "set", "left_semi").groupBy("set").agg(F.first("counts").alias("counts"))
-            near = _by_cell(points.join(vectors, "set"), "counts", "n").mapInArrow(_near(least), "a long, b long, links long")
-            edges = cut(near.select("a", "b"))
-        else:
-            texts = rows.join(few(points), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "set", "cell", "copies", "parts")
-            trees = texts.mapInArrow(_shingles(words), "set long, cell long, copies long, parts int, shingles array<long>")
-            links = cut(_by_cell(trees, "shingles").mapInArrow(_verify(least), "a long, b long, links long"))
+    # First the trees of each key, then, for what they leave connected, with the shingles.
+    points = cut(sets.join(_by_key(edges), "set").select("set", "cell", "copies", "n"))
+    points = points.join(points.groupBy("cell").agg(F.ceil(F.count("*") / POINTS).cast("int").alias("parts")), "cell")
+    vectors = found.where("n > 0").join(points.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.first("counts").alias("counts"))
+    near = cut(_by_cell(points.join(vectors, "set"), "counts", "n").mapInArrow(_near(least), "a long, b long, links long"))
+
+    cells = connected_components(near.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("cell"))
+    points = cut(sets.join(cells, "set").select("set", "cell", "first", "copies", "n"))
+    points = points.join(points.groupBy("cell").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts")), "cell")
+    texts = rows.join(few(points), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "set", "cell", "copies", "parts")
+    trees = texts.mapInArrow(_shingles(words), "set long, cell long, copies long, parts int, shingles array<long>")
+    links = cut(_by_cell(trees, "shingles").mapInArrow(_verify(least), "a long, b long, links long"))
 
     linked = connected_components(links.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("root"))
     n_links = links.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
