@@ -32,8 +32,10 @@ from reconcile.llm.tokens import Words, mix, sequence_hash, slices
 
 #: Percent of the union that two linked sets share, and words of a shingle.
 LEAST, WORDS = 85, 4
-#: Count vector groups, points of a page, shingles of a part of a large cell, shingles a cell's group should have.
-GROUPS, PAGE, PART, SOLID = 128, 32, 1_000_000, 3
+#: Least and most groups of a count vector (powers of two), shingles that a group has on average within these.
+GROUPS, MOST_GROUPS, MEAN = 128, 4096, 4
+#: Points of a page, shingles of a part of a large cell, shingles a cell's group should have.
+PAGE, PART, SOLID = 32, 1_000_000, 3
 #: Largest count that a vector holds (it stands for any larger one), and points of a part of a large cell.
 FULL, POINTS = 255, 4096
 #: Ratio of the largest to the smallest size of a class.
@@ -110,8 +112,15 @@ def cell_keys(shingles: np.ndarray, tops: list[int], least: int) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall in each group, up to FULL."""
-    return np.minimum(np.bincount(shingles & np.uint64(GROUPS - 1), minlength=GROUPS), FULL).astype(np.uint8)
+    """How many shingles fall in each group, up to FULL; larger sets have more groups, as few full ones tell nothing apart."""
+    groups = min(max(1 << (len(shingles) // MEAN).bit_length() - 1 if len(shingles) >= MEAN else 1, GROUPS), MOST_GROUPS)
+    return np.minimum(np.bincount(shingles & np.uint64(groups - 1), minlength=groups), FULL).astype(np.uint8)
+
+
+def folded(vectors: list[np.ndarray], groups: int) -> np.ndarray:
+    """The vectors in so few groups, a row each: groups that agree in their low bits are one."""
+    rows = [v if len(v) == groups else np.minimum(v.reshape(-1, groups).sum(axis=0, dtype=np.int64), FULL) for v in vectors]
+    return np.stack(rows).astype(np.uint8)
 
 
 def _marks(words: int, least: int):
@@ -171,6 +180,12 @@ class _Tree:
         self.least, self.most = sizes[self.order[self.starts]], sizes[self.order[self.ends - 1]]
 
 
+def _trees(parts: list[list[tuple[np.ndarray, int]]]) -> list[_Tree]:
+    """A tree of the (vector, size) of each part, all in the groups of the shortest vector."""
+    groups = min(len(v) for part in parts for v, _ in part)
+    return [_Tree(folded([v for v, _ in part], groups), np.asarray([n for _, n in part])) for part in parts]
+
+
 def tree_join(left: _Tree, right: _Tree, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i of left, js of right) whose summed coordinate minima allow a link; each pair once if the trees are one."""
     same = left is right
@@ -203,7 +218,7 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, least: int)
     ends = np.cumsum([0, *map(len, left), *map(len, right or [])])
     shift = 0 if right is None else len(left)
     mark = np.zeros(dense.max(initial=0) + 1, np.int64)
-    trees = [_Tree(np.stack([count_vector(x) for x in part]), np.asarray([len(x) for x in part])) for part in (left, right) if part is not None]
+    trees = _trees([[(count_vector(x), len(x)) for x in part] for part in (left, right) if part is not None])
     for i, js in tree_join(trees[0], trees[-1], least):
         mine = dense[ends[i] : ends[i + 1]]
         mark[mine] = 1
@@ -275,15 +290,12 @@ def _verify(least: int):
 def _near(least: int):
     """Links that the count vectors of each cell leave possible."""
 
-    def tree(points: list) -> _Tree:
-        return _Tree(np.frombuffer(b"".join(v for v, _ in points), np.uint8).reshape(-1, GROUPS), np.asarray([n for _, n in points]))
-
     def pairs(left, right):
-        own = tree(left)
-        return tree_join(own, own if right is None else tree(right), least)
+        trees = _trees([left] if right is None else [left, right])
+        return tree_join(trees[0], trees[-1], least)
 
     def run(batches):
-        yield from _links(_grouped(batches, lambda batch, row: (batch.column(6)[row].as_py(), batch.column(7)[row].as_py())), pairs)
+        yield from _links(_grouped(batches, lambda batch, row: (np.frombuffer(batch.column(6)[row].as_py(), np.uint8), batch.column(7)[row].as_py())), pairs)
 
     return run
 
