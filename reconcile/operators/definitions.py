@@ -39,6 +39,16 @@ def parse(content: Column, full: bool = True) -> Column:
     return F.arrow_udf(parse_batch, _PARSED_DDL)(content)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows, dealt by the columns ``by`` over ``spark.sql.shuffle.partitions`` tasks.
+
+    Definitions take a hundred times as long to parse as to read, so that a file
+    or a joined partition of a size that suits Spark would keep one task busy for
+    very long. Spark leaves a number of partitions that is given as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def rows_of(df: DataFrame, keys: list[str], entries: Column, first: str) -> DataFrame:
     """``keys`` and a row for each entry of an array of structs, of which ``first`` is never null.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from reconcile.functions import text
 from reconcile.functions.keys import qualified_name
 from reconcile.operators import drift
+from reconcile.operators.definitions import spread
 from reconcile.plans.plan import UPDATE, Where, plan, scoped
 from reconcile.sources.versions import shared_folder
 
@@ -51,7 +52,8 @@ def plan_definitions(
     Only digests travel to learn what changed: the small plan is written to
     ``staging``, read back with its true size, and texts are fetched for updated
     keys alone; Spark broadcasts those keys if they are few, and no text moves
-    that isn't shown. ``staging`` is a path that does not exist yet, by default one
+    that isn't shown. They are diffed and parsed in ``spark.sql.shuffle.partitions``
+    tasks, to which their keys take them before they are normalized. ``staging`` is a path that does not exist yet, by default one
     below the session's ``spark.checkpoint.dir``. With ``staging=False`` nothing is
     written and every text travels once, to its key; that is less work where most have changed.
     """
@@ -68,7 +70,8 @@ def plan_definitions(
 
     def texts(df: DataFrame, name: str) -> DataFrame:
         kept = scoped(df, keys, targets, where).join(changed, keys, "left_semi")
-        return kept.select(*keys, text.normalize(F.col(content)).alias(name))
+        dealt = spread(kept.select(*keys, F.col(content).alias(name)), *keys)
+        return dealt.withColumn(name, text.normalize(F.col(name)))
 
     pairs = texts(current, "__old").join(texts(desired, "__new"), keys)
     absent = F.lit(None).cast("string")
