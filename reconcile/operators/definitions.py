@@ -40,13 +40,13 @@ def parse(content: Column, full: bool = True) -> Column:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """The same rows, dealt by the columns ``by`` over ``spark.sql.shuffle.partitions`` tasks.
+    """The same rows, dealt by the columns ``by`` over tasks of even size, at least as many as there are cores.
 
     Definitions take a hundred times as long to parse as to read, so that a file
-    or a joined partition of a size that suits Spark would keep one task busy for
-    very long. Spark leaves a number of partitions that is given as it is.
+    of a size that suits a scan would keep one task busy for very long. Spark
+    coalesces what is dealt by size, down to ``spark.sql.adaptive.coalescePartitions.minPartitionSize``.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return df.repartition(*by)
 
 
 def rows_of(df: DataFrame, keys: list[str], entries: Column, first: str) -> DataFrame:
@@ -85,13 +85,13 @@ def split_location(url: Column) -> Column:
 
 def columns(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """One row per column: ``keys, ordinal, name, data_type, comment``."""
-    return rows_of(df, keys, parse(F.col(content))["columns"], "name")
+    return rows_of(spread(df, *keys, content), keys, parse(F.col(content), full=False)["columns"], "name")
 
 
 def properties(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """``keys, location, format, partitions, table_properties``."""
     parsed = F.col("__parsed")
-    return df.select(*keys, parse(F.col(content)).alias("__parsed")).select(
+    return spread(df, *keys, content).select(*keys, parse(F.col(content)).alias("__parsed")).select(
         *keys,
         parsed["location"].alias("location"),
         parsed["format"].alias("format"),
@@ -103,7 +103,7 @@ def properties(df: DataFrame, keys: list[str], content: str = "content") -> Data
 def table_definitions(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """The whole definition as one nested row per key."""
     parsed = F.col("__parsed")
-    return df.select(*keys, parse(F.col(content)).alias("__parsed")).select(
+    return spread(df, *keys, content).select(*keys, parse(F.col(content)).alias("__parsed")).select(
         *keys,
         parsed["columns"].alias("columns"),
         parsed["partitions"].alias("partitions"),

@@ -52,8 +52,8 @@ def plan_definitions(
     Only digests travel to learn what changed: the small plan is written to
     ``staging``, read back with its true size, and texts are fetched for updated
     keys alone; Spark broadcasts those keys if they are few, and no text moves
-    that isn't shown. They are diffed and parsed in ``spark.sql.shuffle.partitions``
-    tasks, to which their keys take them before they are normalized. ``staging`` is a path that does not exist yet, by default one
+    that isn't shown. Their keys take them to tasks of even size before they are
+    normalized, diffed and parsed. ``staging`` is a path that does not exist yet, by default one
     below the session's ``spark.checkpoint.dir``. With ``staging=False`` nothing is
     written and every text travels once, to its key; that is less work where most have changed.
     """
