@@ -112,9 +112,11 @@ def property_changes(
     """``keys, property_name, old_value, new_value``: location, format and partitions of two definitions.
 
     Present on one side only counts as a change. ``table_properties`` adds the
-    TBLPROPERTIES entry by entry.
+    TBLPROPERTIES entry by entry. Pairs of different texts are dealt over
+    tasks of even size before they are parsed.
     """
-    detailed = change_details(pairs, old, new, table_properties=table_properties)
+    differing = definitions.spread(pairs.where(F.col(old) != F.col(new)), *keys, old, new)
+    detailed = change_details(differing, old, new, table_properties=table_properties)
     return property_changes_of(detailed, keys)
 
 
