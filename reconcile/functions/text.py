@@ -33,15 +33,21 @@ def line_diff(key: Column, old: Column, new: Column, context: int = 3) -> Column
 
     @F.arrow_udf("string")
     def diff(keys: pa.Array, olds: pa.Array, news: pa.Array) -> pa.Array:
-        rows = zip(keys.to_pylist(), olds.to_pylist(), news.to_pylist())
-        return pa.array(
-            [None if o is None or n is None else unified(k, o, n, context) for k, o, n in rows],
-            pa.string(),
-        )
+        return diff_batch(keys, olds, news, context)
 
     return diff(key, old, new)
 
 
+def diff_batch(keys: pa.Array, olds: pa.Array, news: pa.Array, context: int) -> pa.Array:
+    """The diffs of a batch; Python strings and lines exist for a few rows of it at a time."""
+    parts = [pa.array([], pa.string())]
+    for start in range(0, len(keys), 64):
+        rows = zip(*(side.slice(start, 64).to_pylist() for side in (keys, olds, news)))
+        diffs = [None if o is None or n is None else unified(k, o, n, context) for k, o, n in rows]
+        parts.append(pa.array(diffs, pa.string()))
+    return pa.concat_arrays(parts)
+
+
 def line_changes(old: Column, new: Column) -> Column:
     """``struct<lines_added, lines_removed>``: how often lines occur more often on one side.
 
