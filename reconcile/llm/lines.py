@@ -1,4 +1,4 @@
-"""Fuzzy line dedup by MinHash.
+"""Fuzzy line dedup by MinHash, in DataFrame functions.
 
 Equal lines are one. Of each line all character shingles are hashed once; the
 least hash after XOR with each of ``BANDS * ROWS`` constants is its signature.
@@ -6,34 +6,37 @@ Lines with an equal band of the signature are compared exactly, by the Jaccard
 similarity of the shingle sets, unless links connect them already; linked
 lines form components, of which one line stays.
 
-Bands of equal members are one group. A large group is cut into parts, each of which
-meets the group's head; only lines that don't end in the head's component then meet the other parts.
+Bands of equal members are one group. Its first ``LEADERS`` lines meet all of it; in a larger group
+only lines that two links don't bring to where they bring the head then meet the others, part by part. Of lines that
+meet, sketches of the shingle sets tell most of those apart that can't be similar; the rest are compared.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reconcile.llm.components import connected_components
 from reconcile.llm.storage import cut, few
-from reconcile.llm.tokens import mix, powers_to, slices
+from reconcile.llm.tokens import mix, powers_to
 
-#: Characters of a shingle, the similarity of a link; BANDS bands of ROWS minima find 0.8 with a chance of 99.7 %, 0.9 with more than 99.999 %.
+#: Characters of a shingle, the similarity of a link; BANDS bands of ROWS minima find 0.8 with a chance of 97 % or more (see the README), 0.9 with more than 99.9 %.
 SHINGLE, LEAST = 9, 0.8
 BANDS, ROWS = 8, 3
-#: Lines and characters of a part of a large group.
-PART_LINES, PART_CHARS = 2048, 1_000_000
-#: Bytes of text worked on at a time, and lines that a task remembers in order to sign a copy only once.
-SLICE_BYTES, REMEMBERED = 1 << 17, 200_000
+#: Lines of a group that meet all of it, lines of a part of a large group, and 64-bit words of a sketch.
+LEADERS, PART_LINES, WORDS = 16, 2048, 16
+#: Shingles hashed in one row, which spares the aggregation most of its work.
+RUN = 8
 
 
 def shingles_of(lines: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``size`` code points of each line (of the line itself if it has no more), and where each line's begin."""
+    """Hashes of the runs of ``size`` code points of each line (of the line itself if it has no more), and where each line's begin.
+
+    In numpy, for brute force beside the query, which hashes in Spark.
+    """
     joined = "\n".join(lines.to_pylist()) + "\n"
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     ends = np.flatnonzero(chars == 10)
@@ -48,101 +51,72 @@ def shingles_of(lines: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return mix((sums[until] - sums[at]) * inverse[at]), first
 
 
-def _bands(seed: int):
+def _last_start(code: Column) -> Column:
+    """Where in a UTF-32 text (from byte 1) the last run of SHINGLE code points begins; 1 if it has no more."""
+    return F.greatest(F.octet_length(code) - (4 * SHINGLE - 1), F.lit(1))
+
+
+def _hash_at(code: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(code, start, 4 * SHINGLE))
+
+
+def _shingles(line: Column) -> Column:
+    """The hashes of a line's shingles, as an array; the line is encoded once, not for each of them."""
+    codes = F.array(F.encode(line, "utf-32"))
+    return F.transform(codes, lambda code: F.transform(F.sequence(F.lit(1), _last_start(code), F.lit(4)), lambda start: _hash_at(code, start)))[0]
+
+
+def _signatures(lines: DataFrame, seed: int) -> DataFrame:
+    """id, b0, b1, ...: the bands of each distinct line."""
     constants = random.Random(seed)
-    masks = [np.uint64(constants.getrandbits(64)) for _ in range(BANDS * ROWS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            new = []
-            for row, name in enumerate(batch.column(0).to_pylist()):
-                if name not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(name)
-                    new.append(row)
-            batch = batch.take(pa.array(new, pa.int64()))
-            for start, end in slices(batch.column(1), SLICE_BYTES):
-                hashes, first = shingles_of(batch.column(1).slice(start, end - start))
-                minima = [np.minimum.reduceat(hashes ^ mask, first) for mask in masks]
-                columns = []
-                for k in range(BANDS):
-                    band = np.full(end - start, k + 1, np.uint64)
-                    for row in minima[k * ROWS : (k + 1) * ROWS]:
-                        band = mix(band + row)
-                    columns.append(pa.array(band.view(np.int64)))
-                chars = pa.array(np.diff(np.append(first, len(hashes))))
-                yield pa.record_batch([batch.column(0).slice(start, end - start), chars, *columns], names=["id", "chars", *(f"b{k}" for k in range(BANDS))])
-
-    return run
-
-
-def linked(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, apart: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js): set i is similar to the sets js, which its label and earlier links don't connect to it.
-
-    One of the two must be apart, and they must be of different sides, if there are sides.
+    masks = [F.lit(constants.getrandbits(32)) for _ in range(BANDS * ROWS)]
+    codes = lines.select("id", F.encode("line", "utf-32").alias("code")).withColumn("last", _last_start(F.col("code")))
+    runs = codes.select("id", "code", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * RUN))).alias("start"))
+    # The last run repeats its last shingle. 32 bits of each hash do for minima, and keep the rows of the exchange short.
+    starts = (F.least(F.col("start") + 4 * k, F.col("last")) for k in range(RUN))
+    hashes = [_hash_at(F.col("code"), start).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"h{k}") for k, start in enumerate(starts)]
+    least = (F.least(*(F.col(f"h{k}").bitwiseXOR(mask) for k in range(RUN))) for mask in masks)
+    minima = runs.select("id", *hashes).groupBy("id").agg(*(F.min(x).alias(f"m{k}") for k, x in enumerate(least)))
+    bands = (F.xxhash64(F.lit(k), *(f"m{row}" for row in range(k * ROWS, (k + 1) * ROWS))).alias(f"b{k}") for k in range(BANDS))
+    return minima.select("id", *bands)
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """id, size, w0, w1, ...: how many shingles a line has, and the parity of those that fall on each bit."""
+    each = texts.select("id", F.explode(F.array_distinct(_shingles(F.col("line")))).alias("hash"))
+    bit = F.expr("shiftleft(1L, cast(shiftright(hash, 4) & 63 as int))")
+    word = F.col("hash").bitwiseAND(F.lit(WORDS - 1))
+    words = (F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS))
+    return each.groupBy("id").agg(F.count("*").alias("size"), *words)
+
+
+def _may_be_similar(least: float) -> Column:
+    """Whether two lines, a and b with their sketches, can be linked.
+
+    A bit differs only for a shingle that one of them has alone, and linked lines have few of those.
     """
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.asarray([len(x) for x in sets])
-    starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(dense.max() + 1, np.int64)
-    labels = np.unique(labels, return_inverse=True)[1]
-    for i in range(len(sets) - 1):
-        js = slice(i + 1, None)
-        meets = (labels[js] != labels[i]) & (np.minimum(sizes[i], sizes[js]) >= least * np.maximum(sizes[i], sizes[js]) - 1e-9)
-        if sides is not None:
-            meets &= sides[js] != sides[i]
-        if not apart[i]:
-            meets &= apart[js]
-        near = np.flatnonzero(meets) + i + 1
-        if not len(near):
-            continue
-        mine = dense[starts[i] : starts[i] + sizes[i]]
-        mark[mine] = 1
-        lengths = sizes[near]
-        at = np.cumsum(lengths) - lengths
-        shared = np.add.reduceat(mark[dense[np.repeat(starts[near] - at, lengths) + np.arange(lengths.sum())]], at)
-        mark[mine] = 0
-        near = near[shared * (1 + least) >= least * (sizes[i] + lengths) - 1e-9]
-        if len(near):
-            labels[np.isin(labels, labels[near])] = labels[i]
-            yield i, near
-
-
-def _links(least: float):
-    """Links of the lines of each group, from rows (band, low, high, part, id, root, apart, line) sorted by the first three."""
-
-    def pairs(rows: dict) -> Iterator[pa.RecordBatch]:
-        rows = list(rows.values())
-        part, ids, roots, apart, lines = zip(*rows)
-        hashes, first = shingles_of(pa.array(lines, pa.string()))
-        sets = [np.unique(x) for x in np.split(hashes, first[1:])]
-        sides, ids = np.asarray(part), np.asarray(ids, np.int64)
-        found = linked(sets, np.asarray(roots, np.int64), sides if sides.min() != sides.max() else None, np.asarray(apart), least)
-        for i, js in found:
-            yield pa.record_batch([pa.array(np.full(len(js), ids[i])), pa.array(ids[js])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, {}
-        for batch in batches:
-            for *key, part, name, root, apart, line in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if key != group:
-                    if len(held) > 1:
-                        yield from pairs(held)
-                    group, held = key, {}
-                held[name] = (part, name, root, apart, line)
-        if len(held) > 1:
-            yield from pairs(held)
-
-    return run
-
-
-def _compared(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """a, b: links among members (band, low, high, part, id, root, apart) of equal band, low and high."""
-    rows = members.join(texts, "id").select("band", "low", "high", "part", "id", "root", "apart", "line")
-    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return rows.mapInArrow(_links(least), "a long, b long")
+    low, high = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    apart = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(WORDS)), F.lit(0))
+    return (low >= least * high - 1e-9) & (apart <= (low + high) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """a, b: the pairs (a, b, size: that of both) of similar lines, by their whole sets."""
+    pairs = cut(pairs.distinct())
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+    # Dealt by the later line: a leader meets many.
+    both = left.join(few(pairs), "a").repartition("b").join(right, "b")
+    shared = F.size(F.array_intersect(_shingles(F.col("line_a")), _shingles(F.col("line_b"))))
+    return cut(both.where(shared * (1 + least) >= least * F.col("size") - 1e-9).select("a", "b"))
+
+
+def _near_roots(links: DataFrame) -> DataFrame:
+    """id, root: a line that links connect it to, the least within two links; not yet the least of its component."""
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = ways.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).select("id", F.least("id", "root").alias("root"))
+    over = ways.join(roots, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("root"))
+    return over.withColumnRenamed("a", "id")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -153,40 +127,38 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame, least: float = LEAST, seed: int = 3, part_lines: int = PART_LINES) -> DataFrame:
     """id, component of the distinct lines (id, line) that are similar to another."""
-    names = [f"b{k}" for k in range(BANDS)]
-    signed = lines.select("id", "line").mapInArrow(_bands(seed), f"id long, chars long, {', '.join(f'{b} long' for b in names)}")
-    signed = cut(signed.groupBy("id").agg(F.first("chars").alias("chars"), *(F.first(b).alias(b) for b in names)))
-    bands = signed.select("id", "chars", F.explode(F.array(*names)).alias("band"))
-    groups = bands.groupBy("band").agg(
-        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("head")
-    ).where("n > 1")
-    groups = groups.groupBy("n", "chars", "members", "head").agg(F.min("band").alias("band"))
-    parts = F.greatest(F.ceil(F.col("n") / part_lines), F.ceil(F.col("chars") / PART_CHARS)).cast("int")
-    groups = cut(groups.select("band", "head", parts.alias("parts")))
-    placed = bands.join(few(groups), "band").select("band", "id", "head", "parts", F.expr("cast(pmod(hash(id), parts) as int)").alias("part"))
+    signed = cut(_signatures(lines, seed))
+    bands = signed.select("id", F.explode(F.array(*(f"b{k}" for k in range(BANDS)))).alias("band"))
+    # Ids are hashes already.
+    groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor("id").alias("members"), F.min("id").alias("head")).where("n > 1")
+    groups = cut(groups.groupBy("n", "members", "head").agg(F.min("band").alias("band")).select("band", "n", "head"))
+    placed = bands.join(few(groups), "band")
     texts = lines.join(few(placed.select("id").distinct()), "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")))
-
-    # The head of a group in parts meets each of them.
-    heads = groups.where("parts > 1").select("band", F.col("head").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    inside = placed.select("band", "id", "part").unionByName(heads)
-    inside = inside.select("band", F.col("part").alias("low"), F.col("part").alias("high"), "part", "id", F.col("id").alias("root"), F.lit(True).alias("apart"))
-    links = cut(_compared(inside, texts, least))
-    found = connected_components(links)
-    split = placed.where("parts > 1")
-    if groups.where("parts > 1").isEmpty():
-        return found.select(F.col("node").alias("id"), "component")
-
-    # Of two lines of different parts and components one at least is not in the head's: it meets the other parts.
-    roots = found.select(F.col("node").alias("id"), F.col("component").alias("root"))
-    split = split.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sketches = cut(_sketches(texts))
+
+    members = placed.select("band", "id").join(sketches, "id")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("id"))
+    leaders = placed.select("band", "id").withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank").join(sketches, "id")
+    meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))
+    pair = F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), (F.col("a.size") + F.col("b.size")).alias("size")
+    meeting = leaders.alias("a").join(members.alias("b"), meet & _may_be_similar(least))
+    links = _compared(meeting.select(*pair), texts, least)
+
+    # Of two lines that aren't known to be connected one at least isn't known to be so to the head: it meets the other parts.
+    split = placed.where(F.col("n") > LEADERS).join(_near_roots(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = cut(split.select("band", "id", "n", "head", "root"))
     tops = split.where("id = head").select("band", F.col("root").alias("top"))
-    split = cut(split.join(tops, "band").withColumn("apart", F.col("root") != F.col("top")))
-    with_apart = split.where("apart").groupBy("band").agg(F.collect_set("part").alias("some"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    meeting = split.join(with_apart, "band").withColumn("other", F.explode(F.when(F.col("apart"), every).otherwise(F.col("some"))))
-    meeting = meeting.where("other <> part").withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    links = links.unionByName(_compared(meeting.select("band", "low", "high", "part", "id", "root", "apart"), texts, least))
+    parts = F.ceil(F.col("n") / part_lines).cast("int").alias("parts")
+    split = split.join(few(tops), "band").select("band", "id", "root", parts, (F.col("root") != F.col("top")).alias("apart"))
+    lone = split.where("apart")
+    if not lone.isEmpty():
+        rest = split.join(few(lone.select("band").distinct()), "band", "left_semi").withColumn("part", F.expr("cast(pmod(hash(id), parts) as int)"))
+        lone = lone.join(sketches, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        once = ~F.col("b.apart") | (F.col("a.id") < F.col("b.id"))
+        meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root")) & once
+        meeting = lone.alias("a").join(rest.join(sketches, "id").alias("b"), meet & _may_be_similar(least))
+        links = links.unionByName(_compared(meeting.select(*pair), texts, least))
     return connected_components(links).select(F.col("node").alias("id"), "component")
 
 

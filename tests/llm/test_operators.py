@@ -149,6 +149,39 @@ def test_lines_in_parts(spark, rows):
     assert whole == parted and len(whole) > 20
 
 
+def test_lines_in_functions_only(spark, rows, monkeypatch):
+    """No Python runs on the executors; groups in which one line meets all, then those that aren't known to be near it, give the same components."""
+
+    def refused(*_):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), name, refused)
+    # A chain of lines, each like the next only, ends of which aren't similar; lines without near ones; short lines.
+    word = lambda n: "".join(chr(97 + n * k % 26) for k in (3, 5, 7, 11, 17, 19))
+    chain = [" ".join(word(n if n >= step else n + 500) for n in range(1, 90)) for step in range(0, 60, 2)]
+    docs = make_docs(spark, [*rows, *((1000 + n, line, None, "a") for n, line in enumerate([*chain, *chain[:3], "ä𝄞", "==========", "============="]))])
+    found = lines.lines_of(docs)
+    whole = dict(lines.line_components(found).collect())
+    monkeypatch.setattr(lines, "LEADERS", 1)
+    assert dict(lines.line_components(found, part_lines=2).collect()) == whole
+    ids = {r["line"]: r["id"] for r in found.collect()}
+    assert len({whole[ids[line]] for line in chain}) == 1
+    assert whole[ids["=========="]] == whole[ids["============="]] and ids["ä𝄞"] not in whole
+
+
+def test_sketches(spark):
+    """Sizes and sketches of sets: as many shingles as there are, however often, and no more differing bits than shingles."""
+    texts = ["abc", "abcdefghi", "äbcdefghij𝄞", "abcdefghij" * 9, "abcdefghij" * 90, "abcdefghijk", "x" * 40]
+    found = {r["id"]: r for r in lines._sketches(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, line string")).collect()}
+    sets = [{t[i : i + 9] for i in range(max(1, len(t) - 8))} for t in texts]
+    assert [found[i]["size"] for i in range(len(texts))] == [len(s) for s in sets]
+    for i, mine in enumerate(sets):
+        for j, other in enumerate(sets):
+            differ = sum(((found[i][f"w{k}"] ^ found[j][f"w{k}"]) % (1 << 64)).bit_count() for k in range(lines.WORDS))
+            assert differ <= len(mine ^ other) and differ % 2 == len(mine ^ other) % 2
+
+
 def test_shingles():
     texts = ["abc", "abcdefghi", "äbcdefghij𝄞", "abcdefghij" * 9]
     hashes, first = lines.shingles_of(lines.pa.array(["x", *texts]).slice(1))
